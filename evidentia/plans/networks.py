@@ -1 +1,141 @@
+"""Graph analytics over the nations' payments and the users' shared keys."""
 
+from pyspark.sql import functions as F
+
+from ..operators import graph as g
+from ..sources.tables import EVENTS_SQL as EV
+from ..sources.tables import case_events
+from .flows import EDGES, edges
+from .registry import query
+
+#: The sparser half of the flow graph: directed edges above the mean.
+TOP = f"{EDGES}, strong AS (SELECT src, dst, total FROM edges WHERE total > (SELECT 1.25 * avg(total) FROM edges)), p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM strong), w AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p)"
+
+
+def strong(spark, d):
+    e = edges(spark, d)
+    limit = e.agg((1.25 * F.avg("total")).alias("limit"))
+    return e.crossJoin(F.broadcast(limit)).where(F.col("total") > F.col("limit")).select("src", "dst", "total")  # limit is one row
+
+
+def pairs(spark, d):
+    return g.simple(strong(spark, d), "total").select("a", "b")
+
+
+_RD = TOP + ", nodes AS (SELECT DISTINCT a AS node FROM w), dist AS (SELECT node AS source, node, 0 AS distance FROM nodes UNION ALL SELECT d.source, w.b, d.distance + 1 FROM dist d JOIN w ON w.a = d.node WHERE d.distance < 5), best AS (SELECT source, node, min(distance)::BIGINT AS distance FROM (SELECT DISTINCT * FROM dist) GROUP BY 1, 2)"
+_REC = "WITH RECURSIVE " + _RD.replace("UNION ALL SELECT d.source", "UNION SELECT d.source")
+
+
+@query("graph_summary", f"WITH {TOP} SELECT (SELECT count(DISTINCT a) FROM w) AS nodes, (SELECT count(*) FROM strong) AS relationships, (SELECT count(*) FROM p) AS pairs")
+def graph_summary(spark, d):
+    s = strong(spark, d)
+    nodes = s.select(F.explode(F.array("src", "dst")).alias("n")).agg(F.countDistinct("n").alias("nodes"))
+    return nodes.crossJoin(s.agg(F.count("*").alias("relationships"))).crossJoin(pairs(spark, d).agg(F.count("*").alias("pairs")))  # one row each
+
+
+@query("simple_projection", f"WITH {EDGES} SELECT least(src, dst) AS a, greatest(src, dst) AS b, round(max(total), 1) AS total FROM edges GROUP BY 1, 2")
+def simple_projection(spark, d):
+    return g.simple(edges(spark, d), "total").select("a", "b", F.round("total", 1).alias("total"))
+
+
+@query("degree_centrality", f"WITH {TOP} SELECT a AS node, count(*) AS degree, round(count(*) / ((SELECT count(DISTINCT a) FROM w) - 1), 6) AS centrality FROM w GROUP BY 1")
+def degree_centrality(spark, d):
+    deg = g.degrees(pairs(spark, d))
+    return deg.crossJoin(F.broadcast(deg.agg(F.count("*").alias("n")))).select("node", "degree", F.round(F.col("degree") / (F.col("n") - 1), 6).alias("centrality"))  # one row
+
+
+@query("components", f"{_REC} SELECT node, min(source) AS component FROM best GROUP BY 1")
+def components(spark, d):
+    return g.components(pairs(spark, d))
+
+
+@query("shortest_path", f"{_REC} SELECT source, node, distance FROM best WHERE source = (SELECT min(node) FROM nodes)")
+def shortest_path(spark, d):
+    p = pairs(spark, d)
+    return g.distances(p, p.agg(F.min("a").alias("node")))
+
+
+@query("khop_neighbourhood", f"{_REC} SELECT node FROM best WHERE source = (SELECT max(node) FROM nodes) AND distance BETWEEN 1 AND 2")
+def khop_neighbourhood(spark, d):
+    p = pairs(spark, d)
+    return g.distances(p, p.agg(F.max("b").alias("node")), 2).where("distance > 0").select("node")
+
+
+@query("hidden_connections", f"{_REC} SELECT source, node, distance FROM best WHERE source < node AND distance BETWEEN 2 AND 4")
+def hidden_connections(spark, d):
+    p = pairs(spark, d)
+    return g.hidden(p, g.distances(p, p.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+
+
+@query("closeness", f"{_REC} SELECT source AS node, round(count(*) / sum(distance), 6) AS closeness FROM best WHERE distance > 0 GROUP BY 1")
+def closeness(spark, d):
+    p = pairs(spark, d)
+    c = g.closeness(g.distances(p, p.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    return c.select("node", F.round("closeness", 6).alias("closeness"))
+
+
+@query("betweenness")
+def betweenness(spark, d):
+    p = pairs(spark, d)
+    return g.betweenness(p, p.select(F.explode(F.array("a", "b")).alias("node")).distinct()).select("node", F.round("betweenness", 6).alias("betweenness"))
+
+
+_PR = """WITH RECURSIVE {e}, nodes AS (SELECT DISTINCT n AS node FROM (SELECT src AS n FROM edges UNION ALL SELECT dst FROM edges)), c AS (SELECT count(*) AS n FROM nodes), share AS (SELECT src, dst, total / sum(total) OVER (PARTITION BY src) AS p FROM edges),
+r AS (SELECT 0 AS i, node, 1.0::DOUBLE / n AS rank FROM nodes, c UNION ALL SELECT i + 1, s.dst, 0.15 / (SELECT n FROM c) + 0.85 * sum(s.p * r.rank) FROM r JOIN share s ON s.src = r.node WHERE i < 20 GROUP BY i, s.dst) SELECT node, round(rank, 6) AS rank FROM r WHERE i = 20"""
+
+
+@query("pagerank", _PR.format(e=EDGES))
+def pagerank(spark, d):
+    r = g.pagerank(edges(spark, d).select("src", "dst", F.col("total").alias("weight")))
+    return r.select("node", F.round("rank", 6).alias("rank"))
+
+
+_TRI = f"WITH {TOP}, t AS (SELECT x.a AS node, count(*) / 2 AS triangles FROM w x JOIN w y ON x.a = y.a AND x.b <> y.b JOIN w z ON z.a = x.b AND z.b = y.b GROUP BY 1)"
+
+
+@query("triangles", _TRI + " SELECT node, triangles::BIGINT AS triangles FROM t")
+def triangles(spark, d):
+    return g.triangles(pairs(spark, d))
+
+
+@query("clustering", _TRI + ", k AS (SELECT a AS node, count(*) AS degree FROM w GROUP BY 1) SELECT node, round(CASE WHEN degree < 2 THEN 0 ELSE 2.0 * coalesce(triangles, 0) / (degree * (degree - 1)) END, 6) AS clustering FROM k LEFT JOIN t USING (node)")
+def clustering(spark, d):
+    return g.clustering(pairs(spark, d)).select("node", F.round("clustering", 6).alias("clustering"))
+
+
+_UK = f"WITH {EV}, e AS (SELECT DISTINCT entity AS u, related AS k FROM ev WHERE event_type = 'purchase' AND related IS NOT NULL), s AS (SELECT k, count(*) AS n FROM e GROUP BY 1 HAVING count(*) > 1), j AS (SELECT x.u, y.u AS v, n FROM e x JOIN e y ON x.k = y.k AND x.u < y.u JOIN s ON s.k = x.k)"
+
+
+def user_keys(spark, d):
+    return case_events(spark, d).where("event_type = 'purchase' AND related IS NOT NULL").select(F.col("entity").alias("u"), F.col("related").alias("k")).distinct()
+
+
+@query("pair_features", _UK + ", k AS (SELECT u, count(*) AS n FROM e GROUP BY 1) SELECT j.u, j.v, count(*) AS common, round(count(*) / (a.n + b.n - count(*)), 6) AS jaccard, (a.n * b.n)::BIGINT AS attachment FROM j JOIN k a ON a.u = j.u JOIN k b ON b.u = j.v GROUP BY j.u, j.v, a.n, b.n")
+def pair_features(spark, d):
+    e = user_keys(spark, d)
+    n = e.groupBy("u").agg(F.count("*").alias("n"))
+    c = g.common_neighbours(e).join(n, "u").join(n.select(F.col("u").alias("v"), F.col("n").alias("m")), "v")
+    return c.select("u", "v", "common", F.round(F.col("common") / (F.col("n") + F.col("m") - F.col("common")), 6).alias("jaccard"), (F.col("n") * F.col("m")).alias("attachment"))
+
+
+@query("adamic_adar_top", _UK + ", a AS (SELECT u, v, count(*) AS common, sum(1 / ln(n)) AS x FROM j GROUP BY 1, 2) SELECT u, v, common, round(x, 6) AS adamic_adar FROM a ORDER BY round(x, 9) DESC, u, v LIMIT 50")
+def adamic_adar_top(spark, d):
+    c = g.common_neighbours(user_keys(spark, d)).orderBy(F.desc(F.round("adamic_adar", 9)), "u", "v").limit(50)
+    return c.withColumn("adamic_adar", F.round("adamic_adar", 6))
+
+
+@query("type_lift", f"WITH {EV}, n AS (SELECT event_type, related % 5 AS grp, count(*) AS c FROM ev WHERE related IS NOT NULL GROUP BY 1, 2), t AS (SELECT sum(c) AS t FROM n) SELECT event_type, grp, c AS n, round(c * t / (sum(c) OVER (PARTITION BY event_type) * sum(c) OVER (PARTITION BY grp)), 6) AS lift FROM n, t")
+def type_lift(spark, d):
+    n = case_events(spark, d).where("related IS NOT NULL").groupBy("event_type", (F.col("related") % 5).alias("grp")).agg(F.count("*").alias("n"))
+    a, b, t = n.groupBy("event_type").agg(F.sum("n").alias("a")), n.groupBy("grp").agg(F.sum("n").alias("b")), n.agg(F.sum("n").alias("t"))
+    return n.join(a, "event_type").join(b, "grp").crossJoin(F.broadcast(t)).select("event_type", "grp", "n", F.round(F.col("n") * F.col("t") / (F.col("a") * F.col("b")), 6).alias("lift"))  # t is one row
+
+
+@query("communities")
+def communities(spark, d):
+    return g.label_communities(pairs(spark, d))
+
+
+@query("link_predictions")
+def link_predictions(spark, d):
+    return g.link_suggestions(pairs(spark, d), 20)
