@@ -9,13 +9,13 @@ from ..sources.tables import case_events
 from .registry import query
 
 S = "CAST(floor(epoch(ts)) AS BIGINT)"
-ORDER = Window.partitionBy("entity").orderBy(F.col("ts").asc_nulls_last(), "event_id")
+
 CAT = "CASE event_type WHEN 'click' THEN 'COMMUNICATION' WHEN 'view' THEN 'COMMUNICATION' WHEN 'purchase' THEN 'TRANSACTION' WHEN 'signup' THEN 'REGISTRATION' WHEN 'error' THEN 'INCIDENT' ELSE 'OTHER' END"
 
 
 @query("timeline_sequence", f"WITH {EV} SELECT entity, event_id, row_number() OVER (PARTITION BY entity ORDER BY ts NULLS LAST, event_id) AS sequence FROM ev")
 def timeline_sequence(spark, d):
-    return case_events(spark, d).select("entity", "event_id", F.row_number().over(ORDER).cast("long").alias("sequence"))
+    return case_events(spark, d).select("entity", "event_id", F.row_number().over(Window.partitionBy("entity").orderBy(F.col("ts").asc_nulls_last(), "event_id")).cast("long").alias("sequence"))
 
 
 _GAPS = f"WITH {EV}, g AS (SELECT entity, event_id, {S} - lag({S}) OVER (PARTITION BY entity ORDER BY ts, event_id) AS gap FROM ev) "
