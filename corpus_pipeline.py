@@ -30,6 +30,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = neardup.near_duplicates(docs)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     rows = docs.withColumn("_hash", F.xxhash64("text"))
+    if not found.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["doc_id", "_hash"])  # rows repeated with id and text are one document
     return rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_hash"] == kept["_hash"]), "left_semi").select(*docs.columns)
 
 
