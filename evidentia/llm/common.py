@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_cleaned = 0.0
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -20,9 +25,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so that a lost executor costs no recomputation."""
+    """Materialise df in the shared checkpoint folder, so that a lost executor costs no recomputation.
+
+    Then the driver's garbage is collected, every few seconds: Spark's cleaner drops shuffle files and checkpoints only of
+    plans that are no longer referred to.
+    """
+    global _cleaned
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if time.monotonic() - _cleaned > 4:
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        _cleaned = time.monotonic()
+    return out
 
 
 def parts(spark: SparkSession) -> int:

@@ -5,16 +5,19 @@
    by the million cost one partial aggregation.
 2. TREES independent trees branch the classes: a node chooses one or, with the probability that makes 1/threshold of
    them on average, two places of the signature; the values there lead to its children. A node with at most LEAF members
-   is compared exhaustively. Larger ones branch on, DEPTH times at most.
-3. What is still large then agrees in DEPTH values, hence is nearly the same text over and over: each member is compared
-   with a leader, another one in each tree; members not in its component are compared with the whole node. No node is
-   capped or dropped. Pairs within a component that is already known are not looked at.
-4. Pairs whose one-byte signatures agree far less than linked ones would (six standard deviations) go. Every other pair
-   is confirmed on the full sets: 100 * intersection >= percent * union.
+   is compared exhaustively by signature. In a larger one all members are compared with a leader, another one in each
+   tree. If half of them are near it, they are one neighbourhood, and only the others branch on; else all do, to any depth.
+3. Two members are near unless their signatures agree far less than linked ones would (six standard deviations). Each
+   member gives at most one near pair in each node, so pairs never grow with the square of a group. The pairs connect
+   neighbourhoods.
+4. Within a neighbourhood links are decided on the full sets: 100 * intersection >= percent * union. Up to BLOCK members
+   are one exhaustive comparison. Larger ones are first compared in blocks that share some anchors; blocks of different
+   components, or of small ones, then meet each other. Only links that join two components leave a block. No node,
+   neighbourhood or block is capped or dropped.
 5. Links are contracted to components by alternating large-star and small-star rounds in Spark.
 
-A pair at the threshold of 0.85 shares the node of one level with probability 0.85 and more; 24 trees with leaves at the
-third level miss it with probability below 1e-8, at the sixth level below 1e-4.
+A pair at the threshold of 0.85 shares the node of one level with probability 0.85 and more; 16 trees with leaves at the
+third level miss it with probability below 1e-6, at the first below 1e-13.
 
 Nulls, empty texts and texts without words have the empty set and are linked with nothing. Texts with fewer words than
 `width` have their whole sequence as only shingle. Repeated rows and ties: the smallest id stands for its component; a
@@ -34,9 +37,11 @@ from . import textbytes as tb
 from .common import cut, parts
 
 SIGNATURE = 64
-TREES = 24
-LEAF = 40
-DEPTH = 6
+TREES = 16
+LEAF = 256
+BLOCK, ANCHORS = 256, 8
+FEW = 1_000_000
+EDGES_A_TASK = 200_000
 _MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 62, SIGNATURE, dtype=np.uint64) * tb.U(2) + tb.U(1)
 _ORDER = tb.U(0xD6E8FEB86659FD93)
 
@@ -126,11 +131,8 @@ def _fixed(column: pa.Array, width: int, dtype=np.uint8) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), width)
 
 
-def leaf_pairs(rows: DataFrame, percent: int, spanning: bool) -> DataFrame:
-    """Possible pairs within each node of rows (node, id, n, low, comp), of LEAF members at most, whose components differ.
-
-    spanning: only one pair for each member, with the first that it may be linked to; as many pairs as members.
-    """
+def leaf_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Near pairs within each node of rows (node, id, n, low), LEAF members at most; one for each member that has any."""
 
     def run(batches):
         kept = None
@@ -138,54 +140,86 @@ def leaf_pairs(rows: DataFrame, percent: int, spanning: bool) -> DataFrame:
             table = pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])])
             node = table.column(0).to_numpy()
             low, n, ids = _fixed(table.column(3), SIGNATURE), table.column(2).to_numpy(), table.column(1).combine_chunks()
-            comp = table.column(4).to_numpy()
             alone = np.ones(len(node), bool)
             for step in range(1, min(LEAF, len(node))):
                 i = np.flatnonzero(node[:-step] == node[step:])
                 if not len(i):
                     break
-                i = i[(comp[i] != comp[i + step]) & alone[i + step]]
+                i = i[alone[i] | alone[i + step]]
                 i = i[_near(low[i], low[i + step], n[i], n[i + step], percent)]
                 if len(i):
-                    if spanning:
-                        alone[i + step] = False
-                    a, b = ids.take(pa.array(i)), ids.take(pa.array(i + step))
-                    yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+                    alone[i] = alone[i + step] = False
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), ids.take(pa.array(i + step))], ["a", "b"])
             last = int(np.searchsorted(node, node[-1], "left")) if len(node) else 0
             kept = table.slice(last)
 
-    ready = rows.select("node", "id", "n", "low", "comp").repartition(parts(rows.sparkSession), "node").sortWithinPartitions("node", "id")
+    ready = rows.select("node", "id", "n", "low").repartition(parts(rows.sparkSession), "node").sortWithinPartitions("node", "id")
     return ready.mapInArrow(run, "a binary, b binary")
 
 
-def _filter_pairs(pairs: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b, n_a, n_b, low_a, low_b) that can be links."""
+def _overlaps(sets: list[np.ndarray], rows: range):
+    """For each of rows, the sizes of its set's intersections with all sets."""
+    grams = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(grams, kind="stable")
+    grams, owner = grams[order], owner[order]
+    for i in rows:
+        low, high = np.searchsorted(grams, sets[i], "left"), np.searchsorted(grams, sets[i], "right")
+        n = high - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        yield i, np.bincount(owner[at], minlength=len(sets))
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                ok = _near(_fixed(batch.column(4), SIGNATURE), _fixed(batch.column(5), SIGNATURE), batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).take(pa.array(np.flatnonzero(ok)))
 
-    return pairs.select("a", "b", "n_a", "n_b", "low_a", "low_b").mapInArrow(run, "a binary, b binary")
+def block_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links a, b that join components. rows: key, id, comp, side, grams. In each key, side 0 meets side 1; alone, itself."""
+
+    def run(batches):
+        for keys, ids, comps, sides, grams in _blocks(batches):
+            sets = [np.frombuffer(g, tb.U) for g in grams]
+            size = np.array([len(x) for x in sets])
+            parent = {c: c for c in comps.tolist()}
+
+            def find(c, parent=parent):
+                while parent[c] != c:
+                    parent[c] = parent[parent[c]]
+                    c = parent[c]
+                return c
+
+            two = bool(sides.any())
+            out = []
+            left = range(int((sides == 0).sum()))
+            for i, both in _overlaps(sets, left):
+                ok = 100 * both >= percent * (size[i] + size - both)
+                ok[: (len(left) if two else i + 1)] = False
+                for j in np.flatnonzero(ok & (comps != comps[i])):
+                    x, y = find(int(comps[i])), find(int(comps[j]))
+                    if x != y:
+                        parent[x] = y
+                        out.append((ids[i], ids[j]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    ready = rows.select("key", "id", "comp", "side", "grams").repartition(parts(rows.sparkSession), "key").sortWithinPartitions("key", "side", "id")
+    return ready.mapInArrow(run, "a binary, b binary")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets meet the threshold. sets: id, grams (sorted 64-bit hashes, as bytes)."""
+def _blocks(batches):
+    """Runs of equal keys: key, ids, comps, sides, grams."""
+    kept = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if kept is None else pa.concat_tables([kept, t])
+        key = t.column(0).to_numpy()
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            yield _block(t.slice(a, b - a))
+        kept = t.slice(edge[-1]) if len(edge) else None
+    if kept is not None and kept.num_rows:
+        yield _block(kept)
 
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, tb.U), np.frombuffer(y, tb.U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    left = sets.select(F.col("id").alias("a"), F.col("grams").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+def _block(t: pa.Table):
+    return t.column(0)[0].as_py(), t.column(1).to_pylist(), t.column(2).to_numpy(), t.column(3).to_numpy(), t.column(4).to_pylist()
 
 
 def shingles_of(docs: DataFrame, reps: DataFrame, ids: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -198,94 +232,120 @@ def shingles_of(docs: DataFrame, reps: DataFrame, ids: DataFrame, key: str, text
                 digest = [xxhash.xxh3_128_digest(x) if x else None for x in got]
                 yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(got, pa.binary())], ["id", "grams"])
 
-    wanted = reps.join(ids, "id", "left_semi").select(F.col("row").alias("key"))
+    wanted = cut(reps.join(ids, "id", "left_semi").select(F.col("row").alias("key")))
+    if wanted.count() <= FEW:
+        wanted = F.broadcast(wanted)  # FEW rows of eight bytes; beyond that, the texts are shuffled
     rows = docs.select(F.xxhash64(text).alias("key"), F.col(text).alias("text"))
     hashed = rows.join(wanted, "key", "left_semi").select("key", "text").mapInArrow(run, "id binary, grams binary")
     return hashed.where(F.col("id").isNotNull()).join(ids, "id", "left_semi").groupBy("id").agg(F.first("grams").alias("grams"))
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """id, root for every id in links (a, b); root is the smallest id of its component. Alternating stars."""
+    """id, root for every id in links (a, b); root is the smallest id of its component. Alternating stars.
+
+    Each round is groupings and joins by node. If all edges fit one task (EDGES_A_TASK), they stay in one partition, and
+    the same plan runs without exchanges; else it is spread over the cluster.
+    """
+    turned = lambda df, x, y: df.select(F.explode(F.array(F.struct(F.col(x[0]).alias("u"), F.col(x[1]).alias("v")), F.struct(F.col(y[0]).alias("u"), F.col(y[1]).alias("v")))).alias("e")).select("e.u", "e.v")
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    count = edges.count()
+    if count <= EDGES_A_TASK:
+        edges = edges.coalesce(1)
     for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = turned(edges, "uv", "vu")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"), F.col("u").alias("w"))
-        nxt = small.where("u <> v").select("u", "v").unionByName(small.select(F.col("w").alias("u"), "v")).where("u <> v").distinct()
-        nxt = cut(nxt)
-        same = nxt.count() == edges.count() and nxt.join(edges, ["u", "v"], "left_anti").isEmpty()
-        edges = nxt
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = turned(large.join(least, "u"), "vm", "um").where("u <> v").distinct()
+        nxt = cut(small)
+        left = nxt.count()
+        same = left == count and nxt.join(edges, ["u", "v"], "left_anti").isEmpty()
+        edges, count = nxt, left
         if same:
             break
-    leaves = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "id")
-    return leaves.unionByName(edges.select(F.col("v").alias("id")).distinct().join(leaves.select("id"), "id", "left_anti").select("id", F.col("id").alias("root")))
+    return turned(edges, "uv", "vv").groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root"))
 
 
 def grow_trees(base: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """Leaves (node, id) of two to LEAF members, of all trees and depths; nodes that are larger at the last depth, if any."""
+    """Leaves (node, id) of two to LEAF members, of all trees and depths; near pairs with leaders of larger nodes, if any."""
     rows = base.withColumn("node", F.explode(F.array(*[F.lit(t) for t in range(TREES)]).cast("array<long>")))
-    rows = branch(rows, percent).select("node", "id").distinct()
-    leaves = None
-    for depth in range(DEPTH):
+    rows = branch(rows, percent).select("node", "id")
+    leaves, stars = None, None
+    while True:
+        rows = rows.repartition(parts(rows.sparkSession), "node")  # one exchange for both, the count and the join
         sized = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         rows = cut(rows.join(sized, "node"))
-        leaf, rest = rows.where(F.col("size") <= LEAF).select("node", "id"), rows.where(F.col("size") > LEAF).select("node", "id")
+        leaf = rows.where(F.col("size") <= LEAF).select("node", "id")
         leaves = leaf if leaves is None else leaves.unionByName(leaf)
-        if rest.isEmpty():
-            return leaves, None
-        if depth < DEPTH - 1:
-            rows = branch(rest.join(base, "id"), percent).select("node", "id").distinct()
-    return leaves, rest
+        large = cut(rows.where(F.col("size") > LEAF).join(base, "id").select("node", "id", "n", "signature", "size"))
+        if large.isEmpty():
+            return leaves, stars
+        star = cut(with_leader(large, percent))
+        stars = star if stars is None else stars.unionByName(star)
+        groups = star.groupBy("node").agg(F.count("*").alias("near"))
+        left = large.join(groups, "node", "left").where(F.coalesce("near", F.lit(0)) * 2 < F.col("size") - 1).select("node", "id", "signature")
+        apart = large.join(groups.join(large.groupBy("node").agg(F.first("size").alias("_s")), "node").where("near * 2 >= _s - 1").select("node"), "node", "left_semi").join(star.select("node", F.col("a").alias("id")).unionByName(star.select("node", F.col("b").alias("id"))), ["node", "id"], "left_anti")
+        rows = branch(left.unionByName(apart.select("node", "id", "signature")), percent).select("node", "id")
 
 
-def similarity_links(docs: DataFrame, reps: DataFrame, *, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """id, root of every class that is linked with another. reps: id, n, row (hash of a text of the class), signature.
+def with_leader(large: DataFrame, percent: int) -> DataFrame:
+    """node, a, b: members (a) of each node that are near its leader (b), drawn by hash."""
 
-    First a spanning set of pairs, linear in the members of the nodes, is confirmed and contracted; then all pairs between
-    different components. So a group of near copies never yields all of its pairs.
-    """
-    base = reps.select("id", "n", "signature")
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                sig = [_fixed(batch.column(k), 4 * SIGNATURE).view(np.uint32) for k in (5, 6)]
+                ok = _near(*sig, batch.column(3).to_numpy(), batch.column(4).to_numpy(), percent)
+                yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(3)], ["node", "a", "b"]).take(pa.array(np.flatnonzero(ok)))
+
+    lead = large.groupBy("node").agg(F.min_by(F.struct("id", "n", "signature"), F.xxhash64("id", "node")).alias("l"))
+    star = large.join(lead, "node").where(F.col("id") != F.col("l.id"))
+    return star.select("node", F.col("id").alias("a"), F.col("l.id").alias("b"), F.col("n").alias("n_a"), F.col("l.n").alias("n_b"), F.col("signature").alias("s_a"), F.col("l.signature").alias("s_b")).mapInArrow(run, "node long, a binary, b binary")
+
+
+def near_pairs(base: DataFrame, percent: int) -> DataFrame:
+    """A spanning set of near pairs (a, b) of classes. base: id, n, signature."""
     low = F.expr(f"concat({', '.join(f'substring(signature, {4 * k + 1}, 1)' for k in range(SIGNATURE))})")
-    leaves, rest = grow_trees(base, percent)
-    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs.select(*ordered).distinct())
-        return cut(confirm(pairs, cut(shingles_of(docs, reps, _ends(pairs), key, text, width)), percent))
-
-    def members(of: DataFrame, info: DataFrame) -> DataFrame:
-        return of.join(info, "id").withColumn("low", low).select("node", "id", "n", "low", "comp")
-
-    def stars(info: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Members of the large nodes; each with its node's leader, if their components differ."""
-        member = cut(members(rest, info))
-        lead = member.groupBy("node").agg(F.min_by(F.struct("id", "n", "low", "comp"), F.xxhash64("id", "node")).alias("l"))
-        star = member.join(lead, "node").where(F.col("comp") != F.col("l.comp"))
-        return member, star.select("node", "comp", F.col("id").alias("a"), F.col("l.id").alias("b"), F.col("n").alias("n_a"), F.col("l.n").alias("n_b"), F.col("low").alias("low_a"), F.col("l.low").alias("low_b"))
-
-    info = base.withColumn("comp", F.xxhash64("id"))
-    pairs = leaf_pairs(members(leaves, info), percent, spanning=True)
-    if rest is not None:
-        pairs = pairs.unionByName(_filter_pairs(stars(info)[1], percent))
-    root = cut(components(checked(pairs)))
-
-    info = base.join(root, "id", "left").withColumn("comp", F.xxhash64(F.coalesce("root", "id"))).drop("root")
-    pairs = leaf_pairs(members(leaves, info), percent, spanning=False)
-    if rest is not None:
-        member, star = stars(info)
-        other = member.select("node", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("low").alias("low_b"), F.col("comp").alias("comp_b"))
-        left = star.select("node", "a", "n_a", "low_a", "comp")
-        pairs = pairs.unionByName(_filter_pairs(left.join(other, "node").where("comp <> comp_b"), percent))
-    links = checked(pairs)
-    if links.isEmpty():
-        return root
-    return cut(components(links.unionByName(root.select(F.col("id").alias("a"), F.col("root").alias("b")))))
+    leaves, stars = grow_trees(base, percent)
+    pairs = leaf_pairs(leaves.join(base, "id").withColumn("low", low).select("node", "id", "n", "low"), percent)
+    if stars is not None:
+        pairs = pairs.unionByName(stars.select("a", "b"))
+    return cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def similarity_links(docs: DataFrame, reps: DataFrame, *, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """id, root of every class that is linked with another. reps: id, n, row (hash of a text of the class), signature."""
+    near = cut(components(near_pairs(reps.select("id", "n", "signature"), percent)).withColumnRenamed("root", "hood"))
+    near = cut(near.join(near.groupBy("hood").agg(F.count("*").alias("size")), "hood"))
+    sets = cut(shingles_of(docs, reps, near.select("id"), key, text, width))
+
+    blocks = F.ceil(F.col("size") / BLOCK)
+    anchor = (blocks > 1) & (F.pmod(F.xxhash64("id", F.lit(1)), "size") < ANCHORS)
+    block = F.explode(F.when(anchor, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), blocks))))
+    rows = near.withColumn("block", block).select(F.xxhash64("hood", "block").alias("key"), "id", F.xxhash64("id").alias("comp"), F.lit(0).alias("side"))
+    links = cut(block_links(rows.join(sets, "id"), percent))
+    root = cut(components(links))
+
+    large = near.where(F.col("size") > BLOCK)
+    if large.isEmpty():
+        return root
+    large = large.join(root, "id", "left").select("hood", "id", F.xxhash64(F.coalesce("root", "id")).alias("comp"))
+    large = large.join(large.groupBy("hood", "comp").agg(F.count("*").alias("n")), ["hood", "comp"])
+    large = cut(large.select("hood", "id", "comp", F.when(F.col("n") >= BLOCK // 2, F.col("comp")).otherwise(F.lit(0)).alias("label")))
+    counts = large.groupBy("hood", "label").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    large = cut(large.join(counts, ["hood", "label"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).drop("blocks"))
+    each = cut(counts.select("hood", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")))
+    other = each.select("hood", F.col("label").alias("label2"), F.col("block").alias("block2"))
+    after = (F.col("label") < F.col("label2")) | (F.col("label") == F.col("label2")) & (F.col("label") == 0) & (F.col("block") <= F.col("block2"))
+    meet = cut(each.join(other, "hood").where(after).withColumn("key", F.xxhash64("hood", "label", "block", "label2", "block2")))
+    first = large.join(meet, ["hood", "label", "block"]).select("key", "id", "comp", F.lit(0).alias("side"))
+    apart = meet.where((F.col("label") != F.col("label2")) | (F.col("block") != F.col("block2")))
+    second = large.join(apart.select("hood", F.col("label2").alias("label"), F.col("block2").alias("block"), "key"), ["hood", "label", "block"])
+    rows = first.unionByName(second.select("key", "id", "comp", F.lit(1).alias("side")))
+    more = cut(block_links(rows.join(sets, "id"), percent))
+    if more.isEmpty():
+        return root
+    return cut(components(links.unionByName(more)))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
