@@ -22,7 +22,7 @@ from .common import bounded_sample, id_crc
 
 BITS = 20
 MAX_WEIGHTS = 1 << 17
-PER_CLASS = 8000
+PER_CLASS = 3000
 #: As in the published method, a coordinate enters only once it was seen often enough; here, in so many sampled texts.
 MIN_TEXTS = 5
 _PAIR, _SKIP = tb.U(0x9E3779B97F4A7C15), tb.U(0xC2B2AE3D27D4EB4F)
