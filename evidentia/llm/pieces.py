@@ -197,8 +197,8 @@ def encoder(spark, model: str = MODEL):
     @F.arrow_udf("ids array<int>, round_trip boolean")
     def encode(texts: pa.Array) -> pa.Array:
         p, ids, same = pieces(), [], []
-        for at in range(0, len(texts), 256):
-            some = texts.slice(at, 256).to_pylist()
+        for at in range(0, len(texts), 1024):
+            some = texts.slice(at, 1024).to_pylist()
             got = p.encode(some)
             ids += got
             same += [t is None or p.decode(np.frombuffer(x, np.int32).tolist()) == t for t, x in zip(some, got, strict=True)]
