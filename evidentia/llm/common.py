@@ -27,13 +27,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder, so that a lost executor costs no recomputation.
 
-    Then the driver's garbage is collected, every few seconds: Spark's cleaner drops shuffle files and checkpoints only of
+    Then the driver's garbage is collected, once a second at most: Spark's cleaner drops shuffle files and checkpoints only of
     plans that are no longer referred to.
     """
     global _cleaned
     ensure_checkpoint_dir(df.sparkSession)
     out = df.checkpoint(eager=True)
-    if time.monotonic() - _cleaned > 4:
+    if time.monotonic() - _cleaned > 1:
         gc.collect()
         df.sparkSession.sparkContext._jvm.System.gc()
         _cleaned = time.monotonic()
