@@ -81,7 +81,8 @@ def betweenness(spark, d):
 
 
 _PR = """WITH RECURSIVE {e}, nodes AS (SELECT DISTINCT n AS node FROM (SELECT src AS n FROM edges UNION ALL SELECT dst FROM edges)), c AS (SELECT count(*) AS n FROM nodes), share AS (SELECT src, dst, total / sum(total) OVER (PARTITION BY src) AS p FROM edges),
-r AS (SELECT 0 AS i, node, 1.0::DOUBLE / n AS rank FROM nodes, c UNION ALL SELECT i + 1, s.dst, 0.15 / (SELECT n FROM c) + 0.85 * sum(s.p * r.rank) FROM r JOIN share s ON s.src = r.node WHERE i < 20 GROUP BY i, s.dst) SELECT node, round(rank, 6) AS rank FROM r WHERE i = 20"""
+m AS (SELECT a.node AS src, b.node AS dst, CASE WHEN a.node IN (SELECT src FROM share) THEN coalesce(p, 0) ELSE 1.0::DOUBLE / n END AS p FROM nodes a CROSS JOIN nodes b CROSS JOIN c LEFT JOIN share ON share.src = a.node AND share.dst = b.node),
+r AS (SELECT 0 AS i, node, 1.0::DOUBLE / n AS rank FROM nodes, c UNION ALL SELECT i + 1, s.dst, 0.15 / (SELECT n FROM c) + 0.85 * sum(s.p * r.rank) FROM r JOIN m s ON s.src = r.node WHERE i < 20 GROUP BY i, s.dst) SELECT node, round(rank, 6) AS rank FROM r WHERE i = 20"""
 
 
 @query("pagerank", _PR.format(e=EDGES))
