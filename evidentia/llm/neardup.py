@@ -7,9 +7,9 @@
    them on average, two places of the signature; the values there lead to its children. A node with at most LEAF members
    is compared exhaustively by signature. In a larger one all members are compared with a leader, another one in each
    tree. If half of them are near it, they are one neighbourhood, and only the others branch on; else all do, to any depth.
-3. Two members are near unless their signatures agree far less than linked ones would (six standard deviations). Each
-   member gives at most one near pair in each node, so pairs never grow with the square of a group. The pairs connect
-   neighbourhoods.
+3. Two members are near unless their signatures agree far less than linked ones would (six standard deviations). A leaf
+   gives a spanning forest of its near pairs, fewer pairs than members, so pairs never grow with the square of a group.
+   The pairs connect neighbourhoods.
 4. Within a neighbourhood links are decided on the full sets: 100 * intersection >= percent * union. Up to BLOCK members
    are one exhaustive comparison. Larger ones are first compared in blocks that share some anchors; blocks of different
    components, or of small ones, then meet each other. Only links that join two components leave a block. No node,
@@ -132,7 +132,7 @@ def _fixed(column: pa.Array, width: int, dtype=np.uint8) -> np.ndarray:
 
 
 def leaf_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Near pairs within each node of rows (node, id, n, low), LEAF members at most; one for each member that has any."""
+    """Near pairs within each node of rows (node, id, n, low), LEAF members at most; they span each near component of a node."""
 
     def run(batches):
         kept = None
@@ -140,15 +140,22 @@ def leaf_pairs(rows: DataFrame, percent: int) -> DataFrame:
             table = pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])])
             node = table.column(0).to_numpy()
             low, n, ids = _fixed(table.column(3), SIGNATURE), table.column(2).to_numpy(), table.column(1).combine_chunks()
-            alone = np.ones(len(node), bool)
+            comp = np.arange(len(node))  # the component of each member, by the pairs kept so far
+            first, end = np.searchsorted(node, node, "left"), np.searchsorted(node, node, "right")
             for step in range(1, min(LEAF, len(node))):
                 i = np.flatnonzero(node[:-step] == node[step:])
                 if not len(i):
                     break
-                i = i[alone[i] | alone[i + step]]
+                i = i[comp[i] != comp[i + step]]
                 i = i[_near(low[i], low[i + step], n[i], n[i + step], percent)]
-                if len(i):
-                    alone[i] = alone[i + step] = False
+                joined = []
+                for x in i.tolist():
+                    if comp[x] != comp[x + step]:
+                        own = comp[first[x] : end[x]]
+                        own[own == comp[x + step]] = comp[x]
+                        joined.append(x)
+                if joined:
+                    i = np.array(joined)
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), ids.take(pa.array(i + step))], ["a", "b"])
             last = int(np.searchsorted(node, node[-1], "left")) if len(node) else 0
             kept = table.slice(last)

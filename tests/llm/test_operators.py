@@ -244,6 +244,15 @@ def test_near_duplicates_equal_brute_force(spark, docs):
     assert got == brute_force(texts, 3, 85)
 
 
+def test_leaf_pairs_span_near_components(spark):
+    low = np.zeros((5, neardup.SIGNATURE), np.uint8)  # x2, x1, apart, x4, x3: x2 is near x1 and x3, x3 is near x4, no others
+    low[1, :20], low[2], low[3:, 20:40], low[3, 40:60] = 1, 9, 2, 3
+    rows = [(node, bytes([10 * node + i]), 100, low[i].tobytes()) for node in (1, 2) for i in range(5)]
+    got = neardup.leaf_pairs(spark.createDataFrame(rows, "node long, id binary, n long, low binary").coalesce(1), 85).collect()
+    pairs = {tuple(sorted((r.a[0], r.b[0]))) for r in got}
+    assert pairs == {(10 * node + a, 10 * node + b) for node in (1, 2) for a, b in ((0, 1), (3, 4), (0, 4))}
+
+
 def test_pipeline(spark, data):
     import corpus_pipeline
 
