@@ -1,15 +1,19 @@
 """Graph analytics over the nations' payments and the users' shared keys."""
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..operators import graph as g
 from ..sources.tables import EVENTS_SQL as EV
 from ..sources.tables import case_events
 from .flows import EDGES, edges
-from .registry import query
+from .registry import ORACLE_SQL, QUERIES, query
 
-#: The sparser half of the flow graph: directed edges above the mean.
+#: The strongest edges of the flow graph: directed edges above 1.25 times the mean, some 47 of 600 on sf0.1.
 TOP = f"{EDGES}, strong AS (SELECT src, dst, total FROM edges WHERE total > (SELECT 1.25 * avg(total) FROM edges)), p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM strong), w AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p)"
+#: The same over all edges.
+ALL = TOP.replace(" WHERE total > (SELECT 1.25 * avg(total) FROM edges)", "")
 
 
 def strong(spark, d):
@@ -18,8 +22,8 @@ def strong(spark, d):
     return e.crossJoin(F.broadcast(limit)).where(F.col("total") > F.col("limit")).select("src", "dst", "total")  # limit is one row
 
 
-def pairs(spark, d):
-    return g.simple(strong(spark, d), "total").select("a", "b")
+def pairs(spark, d, of=strong):
+    return g.simple(of(spark, d), "total").select("a", "b")
 
 
 _RD = TOP + ", nodes AS (SELECT DISTINCT a AS node FROM w), dist AS (SELECT node AS source, node, 0 AS distance FROM nodes UNION ALL SELECT d.source, w.b, d.distance + 1 FROM dist d JOIN w ON w.a = d.node WHERE d.distance < 5), best AS (SELECT source, node, min(distance)::BIGINT AS distance FROM (SELECT DISTINCT * FROM dist) GROUP BY 1, 2)"
@@ -27,10 +31,10 @@ _REC = "WITH RECURSIVE " + _RD.replace("UNION ALL SELECT d.source", "UNION SELEC
 
 
 @query("graph_summary", f"WITH {TOP} SELECT (SELECT count(DISTINCT a) FROM w) AS nodes, (SELECT count(*) FROM strong) AS relationships, (SELECT count(*) FROM p) AS pairs")
-def graph_summary(spark, d):
-    s = strong(spark, d)
+def graph_summary(spark, d, of=strong):
+    s = of(spark, d)
     nodes = s.select(F.explode(F.array("src", "dst")).alias("n")).agg(F.countDistinct("n").alias("nodes"))
-    return nodes.crossJoin(s.agg(F.count("*").alias("relationships"))).crossJoin(pairs(spark, d).agg(F.count("*").alias("pairs")))  # one row each
+    return nodes.crossJoin(s.agg(F.count("*").alias("relationships"))).crossJoin(pairs(spark, d, of).agg(F.count("*").alias("pairs")))  # one row each
 
 
 @query("simple_projection", f"WITH {EDGES} SELECT least(src, dst) AS a, greatest(src, dst) AS b, round(max(total), 1) AS total FROM edges GROUP BY 1, 2")
@@ -39,44 +43,44 @@ def simple_projection(spark, d):
 
 
 @query("degree_centrality", f"WITH {TOP} SELECT a AS node, count(*) AS degree, round(count(*) / ((SELECT count(DISTINCT a) FROM w) - 1), 6) AS centrality FROM w GROUP BY 1")
-def degree_centrality(spark, d):
-    deg = g.degrees(pairs(spark, d))
+def degree_centrality(spark, d, of=strong):
+    deg = g.degrees(pairs(spark, d, of))
     return deg.crossJoin(F.broadcast(deg.agg(F.count("*").alias("n")))).select("node", "degree", F.round(F.col("degree") / (F.col("n") - 1), 6).alias("centrality"))  # one row
 
 
 @query("components", f"{_REC} SELECT node, min(source) AS component FROM best GROUP BY 1")
-def components(spark, d):
-    return g.components(pairs(spark, d))
+def components(spark, d, of=strong):
+    return g.components(pairs(spark, d, of))
 
 
 @query("shortest_path", f"{_REC} SELECT source, node, distance FROM best WHERE source = (SELECT min(node) FROM nodes)")
-def shortest_path(spark, d):
-    p = pairs(spark, d)
+def shortest_path(spark, d, of=strong):
+    p = pairs(spark, d, of)
     return g.distances(p, p.agg(F.min("a").alias("node")))
 
 
 @query("khop_neighbourhood", f"{_REC} SELECT node FROM best WHERE source = (SELECT max(node) FROM nodes) AND distance BETWEEN 1 AND 2")
-def khop_neighbourhood(spark, d):
-    p = pairs(spark, d)
+def khop_neighbourhood(spark, d, of=strong):
+    p = pairs(spark, d, of)
     return g.distances(p, p.agg(F.max("b").alias("node")), 2).where("distance > 0").select("node")
 
 
 @query("hidden_connections", f"{_REC} SELECT source, node, distance FROM best WHERE source < node AND distance BETWEEN 2 AND 4")
-def hidden_connections(spark, d):
-    p = pairs(spark, d)
+def hidden_connections(spark, d, of=strong):
+    p = pairs(spark, d, of)
     return g.hidden(p, g.distances(p, p.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
 
 
 @query("closeness", f"{_REC} SELECT source AS node, round(count(*) / sum(distance), 6) AS closeness FROM best WHERE distance > 0 GROUP BY 1")
-def closeness(spark, d):
-    p = pairs(spark, d)
+def closeness(spark, d, of=strong):
+    p = pairs(spark, d, of)
     c = g.closeness(g.distances(p, p.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
     return c.select("node", F.round("closeness", 6).alias("closeness"))
 
 
 @query("betweenness")
-def betweenness(spark, d):
-    p = pairs(spark, d)
+def betweenness(spark, d, of=strong):
+    p = pairs(spark, d, of)
     return g.betweenness(p, p.select(F.explode(F.array("a", "b")).alias("node")).distinct()).select("node", F.round("betweenness", 6).alias("betweenness"))
 
 
@@ -95,13 +99,13 @@ _TRI = f"WITH {TOP}, t AS (SELECT x.a AS node, count(*) / 2 AS triangles FROM w
 
 
 @query("triangles", _TRI + " SELECT node, triangles::BIGINT AS triangles FROM t")
-def triangles(spark, d):
-    return g.triangles(pairs(spark, d))
+def triangles(spark, d, of=strong):
+    return g.triangles(pairs(spark, d, of))
 
 
 @query("clustering", _TRI + ", k AS (SELECT a AS node, count(*) AS degree FROM w GROUP BY 1) SELECT node, round(CASE WHEN degree < 2 THEN 0 ELSE 2.0 * coalesce(triangles, 0) / (degree * (degree - 1)) END, 6) AS clustering FROM k LEFT JOIN t USING (node)")
-def clustering(spark, d):
-    return g.clustering(pairs(spark, d)).select("node", F.round("clustering", 6).alias("clustering"))
+def clustering(spark, d, of=strong):
+    return g.clustering(pairs(spark, d, of)).select("node", F.round("clustering", 6).alias("clustering"))
 
 
 _UK = f"WITH {EV}, e AS (SELECT DISTINCT entity AS u, related AS k FROM ev WHERE event_type = 'purchase' AND related IS NOT NULL), s AS (SELECT k, count(*) AS n FROM e GROUP BY 1 HAVING count(*) > 1), j AS (SELECT x.u, y.u AS v, n FROM e x JOIN e y ON x.k = y.k AND x.u < y.u JOIN s ON s.k = x.k)"
@@ -133,10 +137,15 @@ def type_lift(spark, d):
 
 
 @query("communities")
-def communities(spark, d):
-    return g.label_communities(pairs(spark, d))
+def communities(spark, d, of=strong):
+    return g.label_communities(pairs(spark, d, of))
 
 
 @query("link_predictions")
-def link_predictions(spark, d):
-    return g.link_suggestions(pairs(spark, d), 20)
+def link_predictions(spark, d, of=strong):
+    return g.link_suggestions(pairs(spark, d, of), 20)
+
+
+# The queries above see only the strongest edges; these see all of them.
+for _name in ("graph_summary", "degree_centrality", "components", "shortest_path", "khop_neighbourhood", "hidden_connections", "closeness", "betweenness", "triangles", "clustering", "communities", "link_predictions"):
+    query(f"{_name}_all", ORACLE_SQL[_name].replace(TOP, ALL) if _name in ORACLE_SQL else None)(partial(QUERIES[_name], of=edges))

@@ -126,3 +126,16 @@ def test_stream_equals_table(spark, tmp_path):
         got = {tuple(r) for r in spark.read.parquet(str(tmp_path / name)).collect()}
         want = {tuple(r) for r in op(rows).collect()}
         assert got <= want and len(got) >= 0.8 * len(want)  # windows after the last watermark stay open
+
+
+def test_whole_flow_graph(spark, data):
+    from evidentia.plans import flows, registry
+
+    e = {(r.src, r.dst) for r in flows.edges(spark, data).collect()}
+    r = registry.QUERIES["graph_summary_all"](spark, data).first()
+    assert (r.nodes, r.relationships, r.pairs) == (len({n for x in e for n in x}), len(e), len({tuple(sorted(x)) for x in e}))
+    near = {}
+    for a, b in e:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    assert {r.node: r.degree for r in registry.QUERIES["degree_centrality_all"](spark, data).collect()} == {n: len(x) for n, x in near.items()}
