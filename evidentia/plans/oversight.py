@@ -31,13 +31,24 @@ def dashboard_turnaround_pctl(spark, d):
     return t.groupBy(F.col("o_orderpriority").alias("priority")).agg(F.round(F.median("days"), 2).alias("median_days"), F.round(F.percentile("days", 0.9), 2).alias("p90_days"), F.round(F.avg("days"), 2).alias("mean_days"))
 
 
+def weekly(rows):
+    w = rows.groupBy(F.trunc("day", "week").alias("w")).agg(F.count("*").alias("n"))
+    weeks = w.agg(F.explode(F.sequence(F.min("w"), F.max("w"), F.expr("INTERVAL 7 DAYS"))).alias("w"))
+    return weeks.join(w, "w", "left").select(F.col("w").cast("string").alias("week"), F.coalesce("n", F.lit(0)).cast("long").alias("cases"))
+
+
 @query("dashboard_weekly_zero_filled", """WITH w AS (SELECT date_trunc('week', o_orderdate)::DATE AS w, count(*) AS n FROM orders WHERE o_custkey % 97 = 3 GROUP BY 1), s AS (SELECT unnest(generate_series((SELECT min(w) FROM w)::TIMESTAMP, (SELECT max(w) FROM w)::TIMESTAMP, INTERVAL 7 DAY))::DATE AS w)
 SELECT s.w::VARCHAR AS week, coalesce(n, 0)::BIGINT AS cases FROM s LEFT JOIN w USING (w)""")
 def dashboard_weekly_zero_filled(spark, d):
-    """Weeks of one officer's cases, with zeros for weeks without any."""
-    w = cases(spark, d).where("o_custkey % 97 = 3").groupBy(F.trunc("day", "week").alias("w")).agg(F.count("*").alias("n"))
-    weeks = w.agg(F.explode(F.sequence(F.min("w"), F.max("w"), F.expr("INTERVAL 7 DAYS"))).alias("w"))
-    return weeks.join(w, "w", "left").select(F.col("w").cast("string").alias("week"), F.coalesce("n", F.lit(0)).cast("long").alias("cases"))
+    """Weeks of the cases of every 97th officer, with zeros for weeks without any."""
+    return weekly(cases(spark, d).where("o_custkey % 97 = 3"))
+
+
+@query("dashboard_weekly_all", """WITH w AS (SELECT date_trunc('week', o_orderdate)::DATE AS w, count(*) AS n FROM orders GROUP BY 1), s AS (SELECT unnest(generate_series((SELECT min(w) FROM w)::TIMESTAMP, (SELECT max(w) FROM w)::TIMESTAMP, INTERVAL 7 DAY))::DATE AS w)
+SELECT s.w::VARCHAR AS week, coalesce(n, 0)::BIGINT AS cases FROM s LEFT JOIN w USING (w)""")
+def dashboard_weekly_all(spark, d):
+    """Weeks of all cases, with zeros for weeks without any."""
+    return weekly(cases(spark, d))
 
 
 @query("dashboard_workload", "SELECT o_custkey AS officer, count(*) FILTER (o_orderstatus = 'O') AS open_cases, count(*) AS cases FROM orders GROUP BY 1 ORDER BY open_cases DESC, officer LIMIT 8")

@@ -139,3 +139,9 @@ def test_whole_flow_graph(spark, data):
         near.setdefault(a, set()).add(b)
         near.setdefault(b, set()).add(a)
     assert {r.node: r.degree for r in registry.QUERIES["degree_centrality_all"](spark, data).collect()} == {n: len(x) for n, x in near.items()}
+
+
+def test_weeks_hold_all_cases(spark, data):
+    from evidentia.plans import oversight, registry
+
+    assert registry.QUERIES["dashboard_weekly_all"](spark, data).agg(F.sum("cases")).first()[0] == oversight.cases(spark, data).count()
