@@ -10,6 +10,8 @@ leave it.
 Components become floor(256 * x). Vectors that are null or hold a null or non-finite component, and rows without id, take
 no part. Shorter vectors count as filled up with zeros. Products too large for doubles are computed with whole numbers and
 held at the limits of a long. Equal scores go to the smaller id; a query's own id is never an answer, also where rows repeat.
+Rows that repeat an id count each, as queries and as answers, as in the SQL: a pair of rows meets once, in the query row's
+home group or in another one, and the k ranks of an id are the best pairs of all its rows.
 """
 
 from __future__ import annotations
@@ -139,7 +141,7 @@ def exact_top_k(vectors: DataFrame, id_col: str, vector: str, is_query, k: int)
     known = queries.select("id", "v", "g").join(floors, "id", "left").select("id", "v", "g", F.coalesce("floor", lowest).alias("floor"))
     away = cut(known.mapInArrow(reach, "id long, v array<double>, g int, floor long"))
     second = _meet(away, data.select("id", "v", "g"), sizes, width, k)
-    found = _best(first.select("query_id", "vec_id", "score").unionByName(second).distinct(), k)
+    found = _best(first.select("query_id", "vec_id", "score").unionByName(second), k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

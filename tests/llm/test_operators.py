@@ -187,6 +187,20 @@ def test_exact_top_k_with_ties_copies_and_odd_vectors(spark):
     assert got == want
 
 
+def test_exact_top_k_with_repeated_ids_equals_sql(spark):
+    import duckdb
+
+    rng = np.random.default_rng(9)
+    v = [(i, [float(np.float32(x)) for x in rng.normal(size=6)]) for i in range(300)]
+    v += v[:1] * 2 + v[50:51] + v[7:9] * 3 + [(11, [9.0] * 6)] * 8 + [(100, [float(-x) for x in v[100][1]])]
+    got = knn_join.op3_exact_top_k(spark.createDataFrame(v, "vec_id long, embedding array<float>")).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", v)
+    want = con.execute(ORACLE_SQL["op3_exact_top_k"]).fetchall()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 def test_large_components_are_exact():
     big = np.full((1, 3), 2.0**60)
     assert knn_join.products(big, big).tolist() == [[2**63 - 1]]
