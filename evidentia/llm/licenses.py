@@ -6,7 +6,10 @@ least probability that names a family is the one that at most one in a thousand
 LEAST_PROBABILITY at least. A named family counts only if one of its templates is found in the paragraph: CONTAINED of the
 template's n-grams of two and three words.
 
-A paragraph is a line. Null and empty texts have no licence. Repeated rows each get their result; ties between families go
+Each line is looked at, and then each passage of lines without an empty one between them (a line without a word is empty):
+where CONTAINED of a template lies within SPREAD times its words, across any line ends, the words from the first to the last
+of its n-grams there are a wrapped notice, and classified like a line. It counts, once for a family and passage, if no line
+of the passage has that family already. n_paragraphs counts lines with a notice and wrapped notices. Null and empty texts have no licence. Repeated rows each get their result; ties between families go
 to the alphabetically first. Only paragraphs that share n-grams with a template are looked at closely, so cost is that of
 hashing the words.
 """
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 
-BITS, LEAST_PROBABILITY, CONTAINED = 18, 0.6, 0.75
+BITS, LEAST_PROBABILITY, CONTAINED, SPREAD = 18, 0.6, 0.75, 1.5
 _SALTS = (tb.U(0x9E3779B97F4A7C15), tb.U(0xC2B2AE3D27D4EB4F))
 # Customary notices, after the public licences.
 TEMPLATES = {
@@ -41,19 +44,19 @@ TEMPLATES = {
 UNKNOWN = "unknown"
 
 
-def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket, paragraph and length in words of each n-gram."""
+def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket, paragraph, length in words and first word of each n-gram."""
     low = tb.LOWER[data]
     starts, ends, owner = tb.words(low, off, tb.NON_WORD)
     h = tb.span_hashes(low, starts, ends)
-    out, run = [(h, owner, 1)], h
+    out, run = [(h, owner, 1, np.arange(len(h)))], h
     for n, salt in enumerate(_SALTS, 1):
         if len(h) <= n:
             break
         same = owner[:-n] == owner[n:]
         run = tb.mix(run[: len(h) - n] * salt + h[n:])
-        out.append((run[same], owner[:-n][same], n + 1))
-    return tuple(np.concatenate(c) for c in ([(x & tb.U((1 << BITS) - 1)).astype(np.int64) for x, _, _ in out], [o for _, o, _ in out], [np.full(len(x), n) for x, _, n in out]))
+        out.append((run[same], owner[:-n][same], n + 1, np.flatnonzero(same)))
+    return tuple(np.concatenate(c) for c in ([(x & tb.U((1 << BITS) - 1)).astype(np.int64) for x, *_ in out], [o for _, o, _, _ in out], [np.full(len(x), n) for x, _, n, _ in out], [w for *_, w in out]))
 
 
 def paragraphs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,10 +66,19 @@ def paragraphs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return cuts, np.searchsorted(off, cuts[:-1], "right") - 1
 
 
+def passages(data: np.ndarray, cuts: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """For each line (its offsets, and its text) the passage it belongs to; lines without a word end one."""
+    full = np.zeros(len(text), bool)
+    full[tb.words(tb.LOWER[data], cuts, tb.NON_WORD)[2]] = True
+    fresh = np.ones(len(text), bool)
+    fresh[1:] = (text[1:] != text[:-1]) | ~full[1:] | ~full[:-1]
+    return np.cumsum(fresh) - 1
+
+
 def _sets(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each text its distinct buckets, and those of two and three words."""
     data, off = tb.flat(pa.array(texts, pa.string()))
-    bucket, owner, n = grams(data, off)
+    bucket, owner, n, _ = grams(data, off)
     return [(np.unique(bucket[owner == i]), np.unique(bucket[(owner == i) & (n > 1)])) for i in range(len(texts))]
 
 
@@ -78,6 +90,10 @@ class Model:
         self.active = np.zeros(1 << BITS, bool)
         for _, t in self.templates:
             self.active[t] = True
+        self.grams = np.concatenate([t for _, t in self.templates])
+        self.of = np.repeat(np.arange(len(self.templates)), [len(t) for _, t in self.templates])
+        self.enough = np.array([CONTAINED * len(t) for _, t in self.templates])
+        self.reach = [int(SPREAD * len(t.split())) for ts in TEMPLATES.values() for t in ts]
 
     def classify(self, own: np.ndarray) -> tuple[str, float]:
         z = self.weights[own].sum(0) + self.bias
@@ -89,6 +105,30 @@ class Model:
     def confirmed(self, family: str, own: np.ndarray) -> bool:
         return any(f == family and np.isin(t, own).mean() >= CONTAINED for f, t in self.templates)
 
+    def wrapped(self, bucket: np.ndarray, n: np.ndarray, word: np.ndarray, known: set[str]) -> dict[str, float]:
+        """Families beside the known ones, and their probabilities, of notices in the n-grams of a passage."""
+        order = np.argsort(word, kind="stable")
+        bucket, n, word = bucket[order], n[order], word[order]
+        pair, found = n > 1, {}
+        there = np.bincount(self.of[np.isin(self.grams, bucket[pair])], minlength=len(self.enough)) >= self.enough
+        for k in np.flatnonzero(there):
+            family, t = self.templates[k]
+            if family in known:
+                continue
+            at = np.flatnonzero(pair & np.isin(bucket, t))
+            place, end = word[at], word[at] + n[at]
+            for i, j in enumerate(np.searchsorted(place, place + self.reach[k])):
+                if j - i < self.enough[k] or i and place[i] == place[i - 1] or len(np.unique(bucket[at[i:j]])) < self.enough[k]:
+                    continue
+                last = end[i:j].max()
+                near = slice(*np.searchsorted(word, [place[i], last]))
+                own = np.unique(bucket[near][word[near] + n[near] <= last])
+                got, p = self.classify(own[self.active[own]])
+                if got == family and p >= self.least and self.confirmed(family, own):
+                    found[family] = max(p, found.get(family, 0.0))
+                    break
+        return found
+
 
 def fit(sample: list[str], *, epochs: int = 60, rate: float = 0.5, l2: float = 1e-4, seed: int = 2) -> Model:
     rng = np.random.default_rng(seed)
@@ -129,6 +169,19 @@ def corpus_sample(docs: DataFrame, texts: int = 300, length: int = 400) -> list[
     return [r[1] for r in drawn.orderBy("h", "line").limit(texts).collect() if not r[1].lower().count("licen")]
 
 
+def looked(m: Model, bucket: np.ndarray, owner: np.ndarray, n: np.ndarray, word: np.ndarray, count: int):
+    """Each of count owners that shares n-grams with a template, and its bucket, n and word."""
+    hits = np.bincount(owner[m.active[bucket] & (n > 1)], minlength=count)
+    look = np.flatnonzero(hits >= 3)
+    chosen = np.isin(owner, look)
+    columns, owner = [c[chosen] for c in (bucket, n, word)], owner[chosen]
+    order = np.argsort(owner, kind="stable")
+    columns, owner = [c[order] for c in columns], owner[order]
+    edge = np.searchsorted(owner, [*look, count])
+    for i, k in enumerate(look):
+        yield int(k), *(c[edge[i] : edge[i + 1]] for c in columns)
+
+
 def op6_licenses(spark, docs: DataFrame) -> DataFrame:
     """doc_id, licenses (families in order, comma-joined), n_paragraphs, confidence (largest probability; 0 if none)."""
     shared = spark.sparkContext.broadcast(fit(corpus_sample(docs)))
@@ -141,20 +194,19 @@ def op6_licenses(spark, docs: DataFrame) -> DataFrame:
         for a, b in tb.chunks(off):
             part = data[off[a] : off[b]]
             cuts, text = paragraphs(part, off[a : b + 1] - off[a])
-            bucket, owner, n = grams(part, cuts)
-            hits = np.bincount(owner[m.active[bucket] & (n > 1)], minlength=len(text))
-            look = np.flatnonzero(hits >= 3)
-            chosen = np.isin(owner, look)
-            bucket, owner = bucket[chosen], owner[chosen]
-            order = np.argsort(owner, kind="stable")
-            bucket, owner = bucket[order], owner[order]
-            edge = np.searchsorted(owner, [*look, len(text)])
-            for i, line in enumerate(look):
-                own = np.unique(bucket[edge[i] : edge[i + 1]])
+            bucket, owner, n, _ = grams(part, cuts)
+            passage = passages(part, cuts, text)
+            named = {}
+            for line, own, *_ in looked(m, bucket, owner, n, n, len(text)):
+                own = np.unique(own)
                 near = own[m.active[own]]  # other words of a long line say nothing about its notice
                 family, p = m.classify(near)
                 if family != UNKNOWN and p >= m.least and m.confirmed(family, own):
                     found[a + text[line]].append((family, p))
+                    named.setdefault(passage[line], set()).add(family)
+            head = np.flatnonzero(np.diff(passage, prepend=-1))
+            for k, *own in looked(m, *grams(part, np.append(cuts[head], cuts[-1])), len(head)) if len(head) else ():
+                found[a + text[head[k]]] += m.wrapped(*own, named.get(k, set())).items()
         rows = [(",".join(sorted({f for f, _ in x})), len(x), max((p for _, p in x), default=0.0)) for x in found]
         cols = list(zip(*rows, strict=True)) or [[], [], []]
         return pa.StructArray.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["licenses", "n_paragraphs", "confidence"])

@@ -157,6 +157,16 @@ def test_licenses(spark):
     assert got == {1: "mit", 2: "cc-by-nc", 3: "gpl", 4: "", 5: "apache,mit"}
 
 
+def test_wrapped_licenses(spark):
+    mit = "Copyright (c) 2020 A. Person\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU {}General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    texts = {1: mit, 2: "/*\n * " + bsd.replace("\n", "\n * ") + "\n */", 3: gpl.format(""), 4: gpl.format("Lesser "), 5: gpl.format("Affero "), 6: mit + "\n" + bsd, 7: "x = 1\n" * 40 + gpl.format("") + "\ny = 2" * 40}
+    texts |= {8: "Permission to use, copy, modify, and/or distribute this software for any\r\npurpose with or without fee is hereby granted.", 9: bsd.replace("\n", "\n\n"), 10: "Released under the MIT License.\nLicensed under the MIT\nLicense."}
+    got = {r.doc_id: (r.licenses, r.n_paragraphs) for r in licenses.op6_licenses(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {1: ("mit", 1), 2: ("bsd", 1), 3: ("gpl", 1), 4: ("lgpl", 1), 5: ("agpl", 1), 6: ("bsd,mit", 2), 7: ("gpl", 1), 8: ("isc", 1), 9: ("", 0), 10: ("mit", 1)}
+
+
 def test_pieces_equal_the_model(spark, docs):
     import sentencepiece
 
