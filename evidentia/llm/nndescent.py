@@ -3,13 +3,15 @@
 The graph holds DEGREE neighbours of every row. It starts from random-hyperplane buckets and is improved by iterated Spark
 joins: each row's neighbours, together with REVERSE rows that name it, meet in one group and offer themselves to each
 other; offers better than a row's current list are merged into it. Rounds end when fewer than SETTLED of the list entries
-change, or after ROUNDS. Unequal norms are handled by one more component that makes all vectors equally long.
+change, or after ROUNDS. Unequal norms are handled by one more component that makes all vectors equally long; it is never
+stored, and the distance is computed without it, so that short vectors beside a long one keep their distances.
 
-A query starts at its own node and expands its best WIDTH nodes that are not expanded yet, until all of them are, or after
-STEPS rounds. Graph work uses vectors of one byte per component; the answers are scored again on the original vectors, in
-doubles, and ranked by that.
+A query starts at its own node and the HEADS longest vectors, and expands its best WIDTH nodes that are not expanded yet,
+until all of them are, or after STEPS rounds. Graph work uses vectors of one byte per component and a scale for each vector;
+the answers are scored again on the original vectors, in doubles, and ranked by that.
 
-Every row is indexed. Buckets are cut into blocks of BUCKET rows by hash, so many copies of one vector are many blocks. A
+Every row is indexed. Equal vectors are one node, named by a 64-bit hash; a node among the answers stands for its ids, the
+smallest first. Buckets are cut into blocks of BUCKET rows by hash, so many copies of one vector are many blocks. A
 table of at most BUCKET rows is one block, and the answer is exact. Vectors that are null, zero or hold a null or
 non-finite component, and rows without id, take no part; shorter vectors count as filled up with zeros.
 """
@@ -27,6 +29,7 @@ from .knn_join import matrix, usable
 DEGREE, REVERSE, ROUNDS, SETTLED = 32, 20, 5, 0.1
 TABLES, BUCKET = 8, 256
 WIDTH, STEPS, ANSWERS = 160, 6, 64
+HEADS, SALT = 64, 32
 OFFERS = 12
 ENTRY = np.dtype([("id", "<i8"), ("s", "<f4")])
 
@@ -36,9 +39,23 @@ def _runs(key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, int)
 
 
+def _split(raw: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of vectors in a row, and their scales."""
+    both = np.frombuffer(raw, np.uint8).reshape(-1, width + 8)
+    return both[:, 8:].view(np.int8), np.ascontiguousarray(both[:, :8]).view(np.float64)[:, 0]
+
+
 def _bytes_matrix(column: pa.Array, width: int) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(len(column), width).astype(np.float32)
+    q, scale = _split(b"".join(column.to_pylist()), width)
+    return q * scale[:, None]
+
+
+def _closeness(x: np.ndarray) -> np.ndarray:
+    """Minus the squared distances of rows to which a last component gives equal length; components are 1 at most."""
+    size = (x**2).sum(1)
+    last = np.sqrt(np.maximum(x.shape[1] - size, 0))
+    apart = (size[:, None] - size) / np.maximum(last[:, None] + last, 1e-300)
+    return 2 * (x @ x.T) - size[:, None] - size - apart**2
 
 
 def _whole_runs(batches):
@@ -74,7 +91,7 @@ def local_join(groups: DataFrame, width: int) -> DataFrame:
                 if b - a < 2:
                     continue
                 own = ids[a:b]
-                s = q[a:b] @ q[a:b].T
+                s = _closeness(q[a:b])
                 s[own[:, None] == own[None]] = -np.inf
                 n = min(OFFERS if b - a < BUCKET // 2 else DEGREE, b - a - 1)
                 top = np.argpartition(-s, n - 1, axis=1)[:, :n]
@@ -171,12 +188,34 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, width: int) -
     fat = cut(circle.groupBy("g").agg(F.collect_list(F.struct("id", "q")).alias("c")).select("g", F.col("c.id").alias("ids"), F.concat_ws("", F.transform("c.q", F.hex)).alias("h")).select("g", "ids", F.unhex("h").alias("qs")))
     own = queries.select("id", "q")
 
+    def peak(batches):
+        for b in batches:
+            size = np.sqrt((_bytes_matrix(b.column(1), width) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size)], ["id", "q", "size"])
+
+    heads = nodes.select("id", "q").mapInArrow(peak, "id long, q binary, size double").orderBy(F.desc("size"), "id").limit(HEADS).collect()
+    head_ids = np.array([r.id for r in heads], np.int64)
+    head_q = b"".join(bytes(r.q) for r in heads)
+
+    def greet(batches):
+        x, scale = _split(head_q, width)
+        for b in batches:
+            s = _bytes_matrix(b.column(1), width) @ (x * scale[:, None]).T if b.num_rows else np.zeros((0, len(x)))
+            unit = _split(b"".join(b.column(1).to_pylist()), width)[1]
+            lists = []
+            for i, row, u in zip(b.column(0).to_pylist(), s, unit, strict=True):
+                entry = np.empty(int((head_ids != i).sum()), ENTRY)
+                entry["id"], entry["s"] = head_ids[head_ids != i], (row / u)[head_ids != i]
+                lists.append(entry.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists, pa.binary())], ["id", "list"])
+
     def expand(batches):
         for b in batches:
             to, lists = [], []
             for i, ids, qs, q, floor in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 near = ids.values.to_numpy()
-                s = np.frombuffer(qs, np.int8).reshape(-1, width)[:, :-1].astype(np.float32) @ np.frombuffer(q, np.int8)[:-1].astype(np.float32)
+                (y, scale), (x, _) = _split(qs, width), _split(q, width)  # the query's own scale changes no order
+                s = ((y.astype(np.float32) @ x[0].astype(np.float32)) * scale).astype(np.float32)
                 ok = (s > floor) & (near != i)
                 if ok.any():
                     entry = np.empty(int(ok.sum()), ENTRY)
@@ -187,11 +226,11 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, width: int) -
 
     lowest = F.lit(float("-inf")).cast("float")
     todo = own.select("id", F.col("id").alias("g"), lowest.alias("floor"))
-    pool, done = None, own.select("id", F.col("id").alias("g"))
+    pool, done = own.mapInArrow(greet, "id long, list binary"), own.select("id", F.col("id").alias("g"))
     for _ in range(STEPS):
         sent = todo.join(own, "id").join(fat, "g").select("id", "ids", "qs", "q", "floor")
         found = sent.mapInArrow(expand, "id long, list binary")
-        pool = cut(merge(found if pool is None else pool.select("id", "list").unionByName(found), WIDTH))
+        pool = cut(merge(pool.select("id", "list").unionByName(found), WIDTH))
         reached = _edges(pool).select(F.col("a").alias("id"), F.col("b").alias("g"))
         todo = cut(reached.join(done, ["id", "g"], "left_anti").join(pool.select("id", "floor"), "id"))
         if todo.isEmpty():
@@ -202,34 +241,40 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, width: int) -
 
 def approximate_top_k(vectors: DataFrame, id_col: str, vector: str, is_query, k: int) -> DataFrame:
     """query_id, rank, vec_id, score. is_query: column function of the id."""
-    rows = usable(vectors, id_col, vector)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    rows = rows.withColumn("norm", norm).where(F.col("norm") > 0).dropDuplicates(["id"])
-    facts = rows.agg(F.count("*"), F.max(F.size("v")), F.max("norm")).first()
-    count, width, longest = facts
-    if not count:
+    rows = usable(vectors, id_col, vector).withColumn("peak", F.array_max(F.transform("v", F.abs))).where(F.col("peak") > 0).dropDuplicates(["id"])
+    width, largest = rows.agg(F.max(F.size("v")), F.max("peak")).first()
+    if not width:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width += 1
+    v = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.get("v", i), F.lit(0.0)) + F.lit(0.0))  # no minus zero
+    members = cut(rows.select("id", v.alias("v")).withColumn("node", F.xxhash64("v")))
+    unique = cut(members.groupBy("node").agg(F.first("v").alias("v")))
 
     def squeeze(batches):
         for b in batches:
-            x = matrix(b.column(1), width) / longest
-            x[:, -1] = np.sqrt(np.maximum(0, 1 - (x**2).sum(1)))
-            top = np.minimum(3.5 / np.sqrt(width), 1.0)
-            q = np.clip(np.rint(x / top * 127), -127, 127).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in q], pa.binary())], ["id", "q"])
-
-    nodes = cut(rows.select("id", "v").mapInArrow(squeeze, "id long, q binary"))
-    graph = build(nodes, count, width)
-    found = search(graph, nodes, nodes.where(is_query(F.col("id"))), width)
-    left = rows.select(F.col("id").alias("a"), F.col("v").alias("x"))
-    right = rows.select(F.col("id").alias("b"), F.col("v").alias("y"))
-    longer = F.transform(F.sequence(F.lit(1), F.lit(width - 1)), lambda i: F.coalesce(F.get("x", i - 1), F.lit(0.0)) * F.coalesce(F.get("y", i - 1), F.lit(0.0)))
-    exact = F.aggregate(longer, F.lit(0.0), lambda a, x: a + x)
-    pairs = _leading(found, ANSWERS)
-    scored = pairs.join(left, "a").join(right, "b").select(F.col("a").alias("query_id"), F.col("b").alias("vec_id"), exact.alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+            x = matrix(b.column(1), width)
+            x = x / largest
+            scale = np.maximum(np.abs(x).max(1, initial=0.0), 1e-300)[:, None] / 127
+            q = np.rint(x / scale).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([a.tobytes() + r.tobytes() for a, r in zip(scale, q, strict=True)], pa.binary())], ["id", "q"])
+
+    nodes = cut(unique.select("node", "v").mapInArrow(squeeze, "id long, q binary"))
+    graph = build(nodes, unique.count(), width)
+    queries = cut(members.where(is_query(F.col("id"))).select("id", "node", F.pmod(F.xxhash64("id"), F.lit(SALT)).alias("salt")))
+    asked = queries.select("node").distinct()
+    found = search(graph, nodes, nodes.join(asked.withColumnRenamed("node", "id"), "id", "left_semi"), width)
+    pairs = _leading(found, ANSWERS).unionByName(asked.select(F.col("node").alias("a"), F.col("node").alias("b")))  # copies of the query, too
+    left = unique.select(F.col("node").alias("a"), F.col("v").alias("x"))
+    right = unique.select(F.col("node").alias("b"), F.col("v").alias("y"))
+    exact = F.aggregate(F.zip_with("x", "y", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    scored = pairs.join(left, "a").join(right, "b").select("a", "b", exact.alias("score"))
+    first = Window.partitionBy("node").orderBy("id")
+    ids = members.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).select(F.col("node").alias("b"), "id")
+    w = Window.partitionBy("a").orderBy(F.desc("score"), "id")
+    ranked = scored.join(ids, "b").withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1)
+    best = ranked.groupBy(F.col("a").alias("node")).agg(F.array_sort(F.collect_list(F.struct("n", F.col("id").alias("vec_id"), "score"))).alias("best"))
+    best = best.join(queries.select("node", "salt").distinct(), "node")  # queries of a common vector are many groups
+    named = queries.join(best, ["node", "salt"]).select(F.col("id").alias("query_id"), F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("id")), 1, k).alias("best"))
+    return named.select("query_id", F.posexplode("best").alias("at", "hit")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "hit.vec_id", "hit.score")
 
 
 def _leading(state: DataFrame, n: int) -> DataFrame:

@@ -230,6 +230,21 @@ def test_nearest_recall_and_odd_vectors(spark):
     assert [(r.vec_id, r.score) for r in nndescent.op9_nearest(few).orderBy("rank").collect()] == [(2, 2.0), (1, 0.5)]
 
 
+def test_nearest_beside_a_long_vector_and_among_copies(spark):
+    rng = np.random.default_rng(12)
+    m = rng.normal(size=(2000, 64))
+    m /= np.sqrt((m**2).sum(1))[:, None]
+    m[777] *= 100
+    m[1500:1700] = m[40]  # more copies than a list holds
+    got = nndescent.op9_nearest(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "vec_id long, embedding array<double>")).toPandas()
+    found = got.sort_values("rank").groupby("query_id").vec_id.agg(list)
+    s = m @ m.T
+    np.fill_diagonal(s, -np.inf)
+    want = {q: np.lexsort((np.arange(2000), -np.round(s[q], 12)))[:20].tolist() for q in range(0, 2000, 20)}
+    assert np.mean([len(set(found[q]) & set(x)) / 20 for q, x in want.items()]) >= 0.9
+    assert found[40] == want[40] and found[1600] == want[1600]
+
+
 def brute_force(texts, width, percent):
     sets = {}
     for i, t in texts.items():
