@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-_cleaned = 0.0
+#: Frees the shuffle files of a query when it ends; what cut() has written is read from the checkpoint.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ROWS_A_TASK = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,47 +18,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared folder; a temporary one only where none is set (tests)."""
+    """Keep the cluster's shared folder. Only a local master, as in tests, gets a temporary one; elsewhere it is an error."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evidentia-"))
+    if sc.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="evidentia-")
+    sc.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so that a lost executor costs no recomputation.
-
-    Then the driver's garbage is collected, once a second at most: Spark's cleaner drops shuffle files and checkpoints only of
-    plans that are no longer referred to.
-    """
-    global _cleaned
-    ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    if time.monotonic() - _cleaned > 1:
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
-        _cleaned = time.monotonic()
-    return out
+    """Materialise df in the shared checkpoint folder, so that a lost executor costs no recomputation; free its shuffle files."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def deal(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """df dealt out by key: to the session's number of partitions, which may be merged, or to more if rows need them."""
+    need = -(-rows // ROWS_A_TASK)
+    return df.repartition(need, key) if need > parts(df.sparkSession) else df.repartition(key)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    return name if name.lower() not in (c.lower() for c in df.columns) else f"{name}_{uuid4().hex[:12]}"
+
+
 def id_crc(col: str = "doc_id") -> Column:
     """crc32 of the id as text; null for a null id."""
     return F.crc32(F.col(col).cast("string"))
 
 
-def bounded_sample(df: DataFrame, klass: str, key: Column, per_class: int, max_classes: int = 256) -> DataFrame:
-    """About per_class rows of each class, picked by a hash of the key: the same rows on every run and layout.
+def bounded_sample(df: DataFrame, klass: str, key: Column, per_class: int) -> DataFrame:
+    """About per_class distinct keys of each class, drawn by a hash of the key: the same on every run and layout.
 
-    Only class counts reach the driver (max_classes rows at most); a class keeps all rows if it has fewer than per_class.
+    Rows that repeat a key count once, so a key that holds most rows neither fills the sample nor keeps others out. Only the
+    classes and their counts reach the driver; a class keeps all its keys if it has fewer than per_class.
     """
-    counts = df.where(F.col(klass).isNotNull()).groupBy(klass).count().orderBy(F.desc("count"), klass).limit(max_classes).collect()
+    name = unused(df, "_draw")
+    df = df.where(F.col(klass).isNotNull()).withColumn(name, F.xxhash64(key, F.lit(77)))
+    counts = df.select(klass, name).distinct().groupBy(klass).count().orderBy(F.desc("count"), klass).collect()
     if not counts:
-        return df.limit(0)
-    draw = F.pmod(F.xxhash64(key, F.lit(77)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        return df.limit(0).drop(name)
+    draw = F.pmod(F.col(name), F.lit(1 << 30)) / F.lit(float(1 << 30))
     keep = F.lit(False)
     for row in counts:
         keep = keep | ((F.col(klass) == F.lit(row[0])) & (draw < F.lit(min(1.0, per_class / row["count"]))))
-    return df.where(keep)
+    return df.where(keep).dropDuplicates([klass, name]).drop(name)

@@ -266,32 +266,57 @@ def brute_force(texts, width, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-def test_near_duplicates_equal_brute_force(spark, docs):
+@pytest.fixture(scope="module")
+def family(docs):
+    """The documents, a large group of near copies at and about the threshold, and texts that share a passage with it."""
     rng = np.random.default_rng(6)
     base = [f"w{rng.integers(4000)}" for _ in range(150)]
     texts = {r.doc_id: r.text for r in docs.collect()}
-    for i in range(420):  # a large group of near copies at and about the threshold, with a passage that others share
+    for i in range(420):
         w = list(base)
         for k in rng.integers(0, 150, int(rng.integers(0, 6))):
             w[k] = f"v{rng.integers(10**6)}"
         texts[5000 + i] = " ".join(w)
     for i in range(330):
         texts[6000 + i] = " ".join([f"u{rng.integers(10**6)}" for _ in range(60)] + base[:60])
-    texts |= {7000: "a b", 7001: "A  b", 7002: "a", 7003: None, 7004: " "}
-    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    return texts | {7000: "a b", 7001: "A  b", 7002: "a", 7003: None, 7004: " "}
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_near_duplicates_equal_brute_force(spark, family, monkeypatch, hot):
+    if hot:
+        monkeypatch.setattr(neardup, "hot_size", lambda rows, tasks: 16)
+    d = spark.createDataFrame(list(family.items()), "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.op10_near_duplicates(d).collect()}
-    assert got == brute_force(texts, 3, 85)
+    assert got == brute_force(family, 3, 85)
+
 
+def test_star_rounds_equal_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    links = [(bytes([int(a)]), bytes([int(b)])) for a, b in rng.integers(0, 250, (150, 2))] + [(bytes([i]), bytes([i + 1])) for i in range(40)]
+    d = spark.createDataFrame(links, "a binary, b binary").where("a <> b")
+    want = {(bytes(r.id), bytes(r.root)) for r in neardup.components(d).collect()}
+    monkeypatch.setattr(neardup, "EDGES_A_TASK", 0)
+    assert {(bytes(r.id), bytes(r.root)) for r in neardup.components(d).collect()} == want
 
-def test_leaf_pairs_span_near_components(spark):
+
+def test_node_pairs_span_near_components(spark):
     low = np.zeros((5, neardup.SIGNATURE), np.uint8)  # x2, x1, apart, x4, x3: x2 is near x1 and x3, x3 is near x4, no others
     low[1, :20], low[2], low[3:, 20:40], low[3, 40:60] = 1, 9, 2, 3
     rows = [(node, bytes([10 * node + i]), 100, low[i].tobytes()) for node in (1, 2) for i in range(5)]
-    got = neardup.leaf_pairs(spark.createDataFrame(rows, "node long, id binary, n long, low binary").coalesce(1), 85).collect()
+    got = neardup.node_pairs(spark.createDataFrame(rows, "node long, id binary, n long, low binary").coalesce(1), 85, len(rows)).collect()
     pairs = {tuple(sorted((r.a[0], r.b[0]))) for r in got}
     assert pairs == {(10 * node + a, 10 * node + b) for node in (1, 2) for a, b in ((0, 1), (3, 4), (0, 4))}
 
 
+def test_near_copies_without_id_are_kept_once(spark):
+    t = " ".join(f"w{i}" for i in range(60))
+    d = spark.createDataFrame([(None, t), (None, t + " x"), (None, t + " y"), (None, "other words here now"), (4, "a b c d e"), (None, "a b c d e")], "doc_id long, text string")
+    got = sorted((r.doc_id is None, r.component_id, r.kept) for r in neardup.op10_near_duplicates(d).where("n_shingles > 50").collect())
+    assert got == [(True, None, False), (True, None, False), (True, None, True)]
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in neardup.op10_near_duplicates(d).where("n_shingles < 50").collect()) == [(0, 0, True), (0, 4, False), (4, 4, True)]
+
+
 def test_pipeline(spark, data):
     import corpus_pipeline
 
