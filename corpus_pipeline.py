@@ -26,13 +26,17 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates (five words, similarity 0.8): the one of smallest id."""
+    """Keeps one document of each group of near duplicates (five words, similarity 0.8): the one of smallest id.
+
+    Rows repeated with id and text are one document. Of a group without any id, the text of smallest hash stays.
+    """
     found = neardup.near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
+    i, h = common.unused(docs, "_id"), common.unused(docs, "_hash")
+    kept = found.where("first").select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).distinct()
+    rows = docs.withColumn(h, F.xxhash64("text"))
     if not found.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
-        rows = rows.dropDuplicates(["doc_id", "_hash"])  # rows repeated with id and text are one document
-    return rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_hash"] == kept["_hash"]), "left_semi").select(*docs.columns)
+        rows = rows.dropDuplicates(["doc_id", h])
+    return rows.join(kept, rows["doc_id"].eqNullSafe(kept[i]) & (rows[h] == kept[h]), "left_semi").select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,11 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written as Parquet to the shared checkpoint folder and read again."""
+    """All stages over documents; each is written as Parquet to the shared checkpoint folder, read again, and then deleted."""
     docs = common.table(spark, sf_dir, "documents")
     common.ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
     for n, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
         docs = spark.read.parquet(f"{folder}/{n}")
+        if n:  # what the stage before has kept
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n - 1}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
     return docs
