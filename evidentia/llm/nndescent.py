@@ -3,7 +3,7 @@
 The graph holds DEGREE neighbours of every row. It starts from random-hyperplane buckets and is improved by iterated Spark
 joins: each row's neighbours, together with REVERSE rows that name it, meet in one group and offer themselves to each
 other; offers better than a row's current list are merged into it. Rounds end when fewer than SETTLED of the list entries
-change, or after ROUNDS. Unequal norms are handled by one more component that makes all vectors equally long; it is never
+change, or after ROUNDS. One more table deals rows to blocks at random, so that every row has company. Unequal norms are handled by one more component that makes all vectors equally long; it is never
 stored, and the distance is computed without it, so that short vectors beside a long one keep their distances.
 
 A query starts at its own node and the HEADS longest vectors, and expands its best WIDTH nodes that are not expanded yet,
@@ -11,9 +11,11 @@ until all of them are, or after STEPS rounds. Graph work uses vectors of one byt
 the answers are scored again on the original vectors, in doubles, and ranked by that.
 
 Every row is indexed. Equal vectors are one node, named by a 64-bit hash; a node among the answers stands for its ids, the
-smallest first. Buckets are cut into blocks of BUCKET rows by hash, so many copies of one vector are many blocks. A
-table of at most BUCKET rows is one block, and the answer is exact. Vectors that are null, zero or hold a null or
-non-finite component, and rows without id, take no part; shorter vectors count as filled up with zeros.
+smallest first. Buckets are cut into blocks of BUCKET rows by hash, so many copies of one vector are many blocks. In a
+table of at most BUCKET rows every row meets every other one, and the answer is exact. Vectors that are null, zero or hold
+a null or non-finite component, and rows without id, take no part; shorter vectors count as filled up with zeros. An id
+that repeats counts once, with its smallest vector in the order of arrays. Equal scores go to the smaller id. An empty
+table has no answers. Other columns of the input, of whatever names, are not looked at.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, parts
+from .common import cut, deal
 from .knn_join import matrix, usable
 
 DEGREE, REVERSE, ROUNDS, SETTLED = 32, 20, 5, 0.1
@@ -31,7 +33,10 @@ TABLES, BUCKET = 8, 256
 WIDTH, STEPS, ANSWERS = 160, 6, 64
 HEADS, SALT = 64, 32
 OFFERS = 12
-ENTRY = np.dtype([("id", "<i8"), ("s", "<f4")])
+#: At most so many expansions of a step are broadcast to the nodes; more are shuffled.
+FEW = 200_000
+#: old: the entry was expanded already (in a search).
+ENTRY = np.dtype([("id", "<i8"), ("s", "<f4"), ("old", "u1")])
 
 
 def _runs(key: np.ndarray) -> np.ndarray:
@@ -39,14 +44,49 @@ def _runs(key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, int)
 
 
-def _split(raw: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column in a row, and where each value starts; a null counts as empty."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = column.fill_null(b"") if column.null_count else column
+    _, off, data = column.buffers()
+    off = np.frombuffer(off, np.int32, len(column) + 1, column.offset * 4) if off is not None else np.zeros(1, np.int32)
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return data[off[0] : off[-1]], off - off[0]
+
+
+def _entries(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All entries of a column of lists, and how many each list has."""
+    data, off = _raw(column)
+    return np.frombuffer(data.tobytes(), ENTRY), np.diff(off) // ENTRY.itemsize
+
+
+def _lists(entry: np.ndarray, edge: np.ndarray) -> pa.Array:
+    """Entries, cut at edge, as a column of lists."""
+    return pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer((edge * ENTRY.itemsize).astype(np.int32)), pa.py_buffer(entry.tobytes())])
+
+
+def _best(owner: np.ndarray, entry: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keep best entries of each owner, without repeats, best first. An entry is old if any of its copies is."""
+    order = np.lexsort((1 - entry["old"], entry["id"], owner))
+    owner, entry = owner[order], entry[order]
+    fresh = np.ones(len(owner), bool)
+    fresh[1:] = (owner[1:] != owner[:-1]) | (entry["id"][1:] != entry["id"][:-1])
+    owner, entry = owner[fresh], entry[fresh]
+    order = np.lexsort((entry["id"], -entry["s"], owner))
+    owner, entry = owner[order], entry[order]
+    edge = _runs(owner)
+    among = np.arange(len(owner)) - np.repeat(edge[:-1], np.diff(edge)) < keep
+    return owner[among], entry[among]
+
+
+def _split(raw, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of vectors in a row, and their scales."""
-    both = np.frombuffer(raw, np.uint8).reshape(-1, width + 8)
+    both = (raw if isinstance(raw, np.ndarray) else np.frombuffer(raw, np.uint8)).reshape(-1, width + 8)
     return both[:, 8:].view(np.int8), np.ascontiguousarray(both[:, :8]).view(np.float64)[:, 0]
 
 
 def _bytes_matrix(column: pa.Array, width: int) -> np.ndarray:
-    q, scale = _split(b"".join(column.to_pylist()), width)
+    q, scale = _split(_raw(column)[0], width)
     return q * scale[:, None]
 
 
@@ -75,60 +115,58 @@ def _whole_runs(batches):
         yield kept
 
 
-def _by(df: DataFrame, key: str) -> DataFrame:
-    return df.repartition(parts(df.sparkSession), key).sortWithinPartitions(key)
-
-
-def local_join(groups: DataFrame, width: int) -> DataFrame:
+def local_join(groups: DataFrame, width: int, rows: int) -> DataFrame:
     """groups: g, id, q, floor. Members of a group offer themselves to each other: id, list (entries above the floor)."""
 
     def run(batches):
         for t in _whole_runs(batches):
             edge, ids = _runs(t.column(0).to_numpy()), t.column(1).to_numpy()
             q, floor = _bytes_matrix(t.column(2), width), t.column(3).to_numpy()
-            to, lists = [], []
+            to, near, score = [], [], []
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 if b - a < 2:
                     continue
                 own = ids[a:b]
                 s = _closeness(q[a:b])
-                s[own[:, None] == own[None]] = -np.inf
+                np.fill_diagonal(s, -np.inf)
                 n = min(OFFERS if b - a < BUCKET // 2 else DEGREE, b - a - 1)
                 top = np.argpartition(-s, n - 1, axis=1)[:, :n]
                 got = np.take_along_axis(s, top, 1)
-                fine = got > floor[a:b, None]
-                for i in np.flatnonzero(fine.any(1)):
-                    entry = np.empty(int(fine[i].sum()), ENTRY)
-                    entry["id"], entry["s"] = own[top[i, fine[i]]], got[i, fine[i]]
-                    to.append(own[i])
-                    lists.append(entry.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(lists, pa.binary())], ["id", "list"])
-
-    return _by(groups.select("g", "id", "q", "floor"), "g").mapInArrow(run, "id long, list binary")
-
-
-def merge(lists: DataFrame, keep: int) -> DataFrame:
-    """id, list: the best entries of all lists of an id, without repeats, best first; floor: the last score, if the list is full."""
+                at, which = np.nonzero(got > floor[a:b, None])
+                to.append(own[at])
+                near.append(own[top[at, which]])
+                score.append(got[at, which])
+            if not to:
+                continue
+            to = np.concatenate(to)
+            entry = np.zeros(len(to), ENTRY)
+            entry["id"], entry["s"] = np.concatenate(near), np.concatenate(score)
+            other = entry["id"] != to
+            to, entry = _best(to[other], entry[other], DEGREE)
+            edge = _runs(to)
+            yield pa.RecordBatch.from_arrays([pa.array(to[edge[:-1]]), _lists(entry, edge)], ["id", "list"])
+
+    return deal(groups.select("g", "id", "q", "floor"), "g", rows).sortWithinPartitions("g").mapInArrow(run, "id long, list binary")
+
+
+def merge(lists: DataFrame, keep: int, rows: int) -> DataFrame:
+    """id, q, list: the best entries of all lists of an id, without repeats, best first; floor: the last score, if the list is full."""
 
     def run(batches):
         for t in _whole_runs(batches):
             ids = t.column(0).to_numpy()
-            raw = t.column(1).to_pylist()
-            entry = np.frombuffer(b"".join(raw), ENTRY)
-            owner = np.repeat(ids, [len(x) // ENTRY.itemsize for x in raw])
-            order = np.lexsort((entry["id"], owner))
-            owner, entry = owner[order], entry[order]
-            fresh = np.ones(len(owner), bool)
-            fresh[1:] = (owner[1:] != owner[:-1]) | (entry["id"][1:] != entry["id"][:-1])
-            owner, entry = owner[fresh], entry[fresh]
-            order = np.lexsort((entry["id"], -entry["s"], owner))
-            owner, entry = owner[order], entry[order]
+            entry, count = _entries(t.column(1))
+            owner, entry = _best(np.repeat(ids, count), entry, keep)
             edge = _runs(owner)
-            out = [entry[a : min(a + keep, b)] for a, b in zip(edge[:-1], edge[1:], strict=True)]
-            floor = [float(x["s"][-1]) if len(x) == keep else -np.inf for x in out]
-            yield pa.RecordBatch.from_arrays([pa.array(owner[edge[:-1]]), pa.array([x.tobytes() for x in out], pa.binary()), pa.array(floor, pa.float32())], ["id", "list", "floor"])
+            full = np.diff(edge) == keep
+            floor = np.where(full, entry["s"][edge[1:] - 1], -np.inf) if len(owner) else np.zeros(0)
+            has = np.flatnonzero(t.column(2).is_valid().to_numpy())
+            named = dict(zip(ids[has].tolist(), t.column(2).combine_chunks().take(pa.array(has)).to_pylist(), strict=True))
+            who = owner[edge[:-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array([named.get(i) for i in who.tolist()], pa.binary()), _lists(entry, edge), pa.array(floor.astype(np.float32))], ["id", "q", "list", "floor"])
 
-    return _by(lists.select("id", "list"), "id").mapInArrow(run, "id long, list binary, floor float")
+    ready = lists.select("id", "list", "q" if "q" in lists.columns else F.lit(None).cast("binary").alias("q"))
+    return deal(ready, "id", rows).sortWithinPartitions("id").mapInArrow(run, "id long, q binary, list binary, floor float")
 
 
 def _edges(state: DataFrame) -> DataFrame:
@@ -136,10 +174,8 @@ def _edges(state: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            raw = batch.column(1).to_pylist()
-            entry = np.frombuffer(b"".join(raw), ENTRY)
-            a = np.repeat(batch.column(0).to_numpy(), [len(x) // ENTRY.itemsize for x in raw])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(entry["id"].copy())], ["a", "b"])
+            entry, count = _entries(batch.column(1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), count)), pa.array(entry["id"].copy())], ["a", "b"])
 
     return state.select("id", "list").mapInArrow(run, "a long, b long")
 
@@ -156,24 +192,24 @@ def build(nodes: DataFrame, rows: int, width: int) -> DataFrame:
     """nodes: id, q. The graph: id, list, floor."""
     bits = max(0, int(np.log2(max(1, rows / (BUCKET / 2)))))
     planes = np.random.default_rng(29).normal(size=(TABLES, width, bits))
-    tables = TABLES if bits else 1
 
     def codes(batches):
         for b in batches:
             x = _bytes_matrix(b.column(1), width)
-            for t in range(tables):
-                code = ((x @ planes[t]) > 0).astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(x), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(code * TABLES + t), b.column(0)], ["code", "id"])
+            for t in range(TABLES if bits else 0):
+                code = ((x @ planes[t]) > 0).astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(code * (TABLES + 1) + t), b.column(0)], ["code", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), TABLES)), b.column(0)], ["code", "id"])  # one bucket: blocks at random
 
     coded = cut(nodes.select("id", "q").mapInArrow(codes, "code long, id long"))
     blocks = coded.groupBy("code").agg(F.ceil(F.count("*") / BUCKET).alias("blocks"))
     start = coded.join(blocks, "code").withColumn("g", F.xxhash64("code", F.pmod(F.xxhash64("id", "code"), "blocks")))
     lowest = F.lit(float("-inf")).cast("float")
-    state = cut(merge(local_join(start.join(nodes, "id").select("g", "id", "q", lowest.alias("floor")), width), DEGREE))
-    for _ in range(ROUNDS if bits else 0):
+    state = cut(merge(local_join(start.join(nodes, "id").select("g", "id", "q", lowest.alias("floor")), width, rows * TABLES), DEGREE, rows * TABLES).drop("q"))
+    for _ in range(ROUNDS):
         here = nodes.join(state.select("id", "floor"), "id", "left").select("id", "q", F.coalesce("floor", lowest).alias("floor"))
-        offers = local_join(_circle(state, REVERSE).join(here, "id"), width)
-        nxt = cut(merge(state.select("id", "list").unionByName(offers), DEGREE))
+        offers = local_join(_circle(state, REVERSE).join(here, "id"), width, rows * (DEGREE + REVERSE))
+        nxt = cut(merge(state.select("id", "list").unionByName(offers), DEGREE, rows * OFFERS).drop("q"))
         old, new = state.select("id", F.col("floor").alias("f")), nxt.select("id", "floor")
         moved = new.join(old, "id").agg(F.avg((F.col("floor") > F.col("f")).cast("double"))).first()[0] or 0.0
         state = nxt
@@ -182,11 +218,10 @@ def build(nodes: DataFrame, rows: int, width: int) -> DataFrame:
     return state
 
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, width: int) -> DataFrame:
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, width: int, rows: int) -> DataFrame:
     """id, list of the queries' best ANSWERS. Each step sends queries to the nodes that they expand; a node scores its circle."""
     circle = _circle(graph, DEGREE).join(nodes, "id")
     fat = cut(circle.groupBy("g").agg(F.collect_list(F.struct("id", "q")).alias("c")).select("g", F.col("c.id").alias("ids"), F.concat_ws("", F.transform("c.q", F.hex)).alias("h")).select("g", "ids", F.unhex("h").alias("qs")))
-    own = queries.select("id", "q")
 
     def peak(batches):
         for b in batches:
@@ -198,50 +233,66 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, width: int) -
     head_q = b"".join(bytes(r.q) for r in heads)
 
     def greet(batches):
+        """The query itself, which is expanded first and never an answer of its own, and the heads."""
         x, scale = _split(head_q, width)
         for b in batches:
-            s = _bytes_matrix(b.column(1), width) @ (x * scale[:, None]).T if b.num_rows else np.zeros((0, len(x)))
-            unit = _split(b"".join(b.column(1).to_pylist()), width)[1]
-            lists = []
-            for i, row, u in zip(b.column(0).to_pylist(), s, unit, strict=True):
-                entry = np.empty(int((head_ids != i).sum()), ENTRY)
-                entry["id"], entry["s"] = head_ids[head_ids != i], (row / u)[head_ids != i]
-                lists.append(entry.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists, pa.binary())], ["id", "list"])
+            ids, (q, unit) = b.column(0).to_numpy(), _split(_raw(b.column(1))[0], width)
+            entry = np.zeros((len(ids), len(x) + 1), ENTRY)
+            entry["id"], entry["id"][:, 0] = np.append(0, head_ids), ids
+            entry["s"][:, 1:] = q.astype(np.float64) @ (x * scale[:, None]).T
+            entry["s"][:, 0] = np.inf
+            apart = np.ones(entry.shape, bool)
+            apart[:, 1:] = entry["id"][:, 1:] != ids[:, None]
+            edge = np.concatenate([[0], np.cumsum(apart.sum(1))])
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(entry[apart], edge), b.column(1)], ["id", "list", "q"])
+
+    def fresh(batches):
+        for b in batches:
+            entry, count = _entries(b.column(2))
+            at = np.repeat(np.arange(len(count)), count)
+            new = entry["old"] == 0
+            at, take = at[new], pa.array(at[new])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(entry["id"][new]), b.column(3).take(take)], ["id", "q", "g", "floor"])
 
-    def expand(batches):
+    def marked(batches):
         for b in batches:
-            to, lists = [], []
-            for i, ids, qs, q, floor in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                near = ids.values.to_numpy()
-                (y, scale), (x, _) = _split(qs, width), _split(q, width)  # the query's own scale changes no order
-                s = ((y.astype(np.float32) @ x[0].astype(np.float32)) * scale).astype(np.float32)
-                ok = (s > floor) & (near != i)
-                if ok.any():
-                    entry = np.empty(int(ok.sum()), ENTRY)
-                    entry["id"], entry["s"] = near[ok], s[ok]
-                    to.append(i)
-                    lists.append(entry.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(lists, pa.binary())], ["id", "list"])
+            entry, count = _entries(b.column(2))
+            entry = entry.copy()
+            entry["old"] = 1
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(entry, np.concatenate([[0], np.cumsum(count)])), b.column(1)], ["id", "list", "q"])
 
-    lowest = F.lit(float("-inf")).cast("float")
-    todo = own.select("id", F.col("id").alias("g"), lowest.alias("floor"))
-    pool, done = own.mapInArrow(greet, "id long, list binary"), own.select("id", F.col("id").alias("g"))
+    def expand(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, 512):
+                b = batch.slice(first, 512)
+                ids, near, count = b.column(0).to_numpy(), b.column(1).flatten().to_numpy(), np.diff(b.column(1).offsets.to_numpy())
+                (y, scale), (x, _) = _split(_raw(b.column(2))[0], width), _split(_raw(b.column(3))[0], width)  # the query's own scale changes no order
+                at = np.repeat(np.arange(len(ids)), count)
+                s = (np.einsum("ij,ij->i", y.astype(np.float32), x.astype(np.float32)[at]) * scale).astype(np.float32)
+                ok = (s > b.column(4).to_numpy()[at]) & (near != ids[at])
+                entry = np.zeros(int(ok.sum()), ENTRY)
+                entry["id"], entry["s"] = near[ok], s[ok]
+                owner, entry = _best(ids[at[ok]], entry, WIDTH)
+                edge = _runs(owner)
+                yield pa.RecordBatch.from_arrays([pa.array(owner[edge[:-1]]), _lists(entry, edge)], ["id", "list"])
+
+    pool = queries.select("id", "q").mapInArrow(greet, "id long, list binary, q binary")
+    pool = cut(merge(pool, WIDTH, rows))
     for _ in range(STEPS):
-        sent = todo.join(own, "id").join(fat, "g").select("id", "ids", "qs", "q", "floor")
-        found = sent.mapInArrow(expand, "id long, list binary")
-        pool = cut(merge(pool.select("id", "list").unionByName(found), WIDTH))
-        reached = _edges(pool).select(F.col("a").alias("id"), F.col("b").alias("g"))
-        todo = cut(reached.join(done, ["id", "g"], "left_anti").join(pool.select("id", "floor"), "id"))
-        if todo.isEmpty():
+        todo = cut(pool.select("id", "q", "list", "floor").mapInArrow(fresh, "id long, q binary, g long, floor float"))
+        count = todo.count()
+        if not count:
             break
-        done = done.unionByName(todo.select("id", "g"))
+        sent = (F.broadcast(todo) if count <= FEW else todo).join(fat, "g").select("id", "ids", "qs", "q", "floor")
+        found = sent.mapInArrow(expand, "id long, list binary").withColumn("q", F.lit(None).cast("binary"))
+        pool = cut(merge(pool.select("id", "q", "list").mapInArrow(marked, "id long, list binary, q binary").unionByName(found), WIDTH, count))
     return pool
 
 
 def approximate_top_k(vectors: DataFrame, id_col: str, vector: str, is_query, k: int) -> DataFrame:
     """query_id, rank, vec_id, score. is_query: column function of the id."""
-    rows = usable(vectors, id_col, vector).withColumn("peak", F.array_max(F.transform("v", F.abs))).where(F.col("peak") > 0).dropDuplicates(["id"])
+    rows = usable(vectors, id_col, vector).withColumn("peak", F.array_max(F.transform("v", F.abs))).where(F.col("peak") > 0)
+    rows = rows.groupBy("id").agg(F.min("v").alias("v")).withColumn("peak", F.array_max(F.transform("v", F.abs)))
     width, largest = rows.agg(F.max(F.size("v")), F.max("peak")).first()
     if not width:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -258,11 +309,12 @@ def approximate_top_k(vectors: DataFrame, id_col: str, vector: str, is_query, k:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([a.tobytes() + r.tobytes() for a, r in zip(scale, q, strict=True)], pa.binary())], ["id", "q"])
 
     nodes = cut(unique.select("node", "v").mapInArrow(squeeze, "id long, q binary"))
-    graph = build(nodes, unique.count(), width)
+    count = unique.count()
+    graph = build(nodes, count, width)
     queries = cut(members.where(is_query(F.col("id"))).select("id", "node", F.pmod(F.xxhash64("id"), F.lit(SALT)).alias("salt")))
     asked = queries.select("node").distinct()
-    found = search(graph, nodes, nodes.join(asked.withColumnRenamed("node", "id"), "id", "left_semi"), width)
-    pairs = _leading(found, ANSWERS).unionByName(asked.select(F.col("node").alias("a"), F.col("node").alias("b")))  # copies of the query, too
+    found = search(graph, nodes, nodes.join(asked.withColumnRenamed("node", "id"), "id", "left_semi"), width, count)
+    pairs = _leading(found, ANSWERS + 1).where("a <> b").unionByName(asked.select(F.col("node").alias("a"), F.col("node").alias("b")))  # copies of the query, too
     left = unique.select(F.col("node").alias("a"), F.col("v").alias("x"))
     right = unique.select(F.col("node").alias("b"), F.col("v").alias("y"))
     exact = F.aggregate(F.zip_with("x", "y", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
