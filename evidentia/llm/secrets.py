@@ -2,12 +2,15 @@
 
 Candidates are found by three kinds of patterns. Their positions come from splitting the text at the matches, so that they
 are the leftmost non-overlapping ones. The hash of each candidate's value is then counted over the corpus by distinct
-owners and repositories: a value that at least EXAMPLE_OWNERS owners hold is a widely copied example; a value of fewer
-owners that looks drawn at random is live. The method adds spans of the kinds `live` and `example` around the value.
+owners and repositories: a value that at least EXAMPLE_OWNERS owners hold, or more than one owner in at least
+EXAMPLE_REPOSITORIES repositories, is a widely copied example; another one that looks drawn at random is live. The method
+adds spans of the kinds `live` and `example` around the value. Candidates are found once and kept in the checkpoint folder.
+Values that would fill a task are few; their counts are broadcast, all others are joined by hash.
 
 Nulls count as empty texts; texts without a match have zero counts, the hash of nothing and empty spans. Each repeated row
 gets the same result. A null owner or repository counts as one owner, the unnamed. Very long texts cost time in
-proportion to their length. Offsets are in code points, the end excluded.
+proportion to their length. Equal values tie in nothing: they share one class. An empty table gives no rows. Other columns of
+the input may have any names. Offsets are in code points, the end excluded.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut, parts, unused
+
 
 def _either_case(word: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
@@ -27,7 +32,9 @@ HEX = "([0-9a-f]{24,})"
 #: Kind, pattern (its group is the value), fewest characters of the value; in the order in which ties are listed.
 KINDS = (("assign", ASSIGN, 6), ("access", ACCESS, 20), ("hex", HEX, 24))
 ADDED = ("example", "live")
-EXAMPLE_OWNERS = 3
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 6
+#: Keys of 64 characters and short lists that are broadcast at most; more are joined by a shuffle.
+FEW = 200_000
 PLACEHOLDER = "(?i)example|changeme|your|dummy|sample|xxxx"
 
 
@@ -64,10 +71,16 @@ def looks_live(value: Column) -> Column:
 
 def classified(docs: DataFrame, key: list[str], text: str, owner: Column, repository: Column) -> DataFrame:
     """candidates() with owners, repositories, copies and class: example, live or weak."""
-    found = candidates(docs, key, text, owner, repository)
-    rows = found.drop("repository").withColumn("value_hash", F.sha2("value", 256)).join(ownership(found), "value_hash")
-    kind = F.when(F.col("owners") >= EXAMPLE_OWNERS, "example").when(looks_live(F.col("value")), "live").otherwise("weak")
-    return rows.withColumn("class", kind)
+    found = cut(candidates(docs, key, text, owner, repository))
+    held = cut(ownership(found))
+    rows = found.drop("repository").withColumn("value_hash", F.sha2("value", 256))
+    most = max(1000, found.count() // parts(docs.sparkSession))
+    hot = F.broadcast(held.where(F.col("copies") > most))  # fewer than there are shuffle partitions
+    common = rows.join(hot, "value_hash")
+    rare = rows.join(hot.select("value_hash"), "value_hash", "left_anti").join(held.where(F.col("copies") <= most), "value_hash")
+    copied = (F.col("owners") >= EXAMPLE_OWNERS) | ((F.col("owners") > 1) & (F.col("repositories") >= EXAMPLE_REPOSITORIES))
+    kind = F.when(copied, "example").when(looks_live(F.col("value")), "live").otherwise("weak")
+    return common.unionByName(rare).withColumn("class", kind)
 
 
 def scan(docs: DataFrame, key: list[str], text: str = "text", owner: Column | None = None, repository: Column | None = None) -> DataFrame:
@@ -85,14 +98,21 @@ def scan(docs: DataFrame, key: list[str], text: str = "text", owner: Column | No
     return got.select(*key, "n_assign", "n_access", "n_hex", F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.array_sort(F.concat("base", "more"))).alias("spans"), "live")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_key", F.sha2(F.concat_ws("\x00", F.col("doc_id").cast("string"), F.coalesce("source", F.lit("\x01")), F.coalesce("lang", F.lit("\x01")), "text"), 256))
+def _keyed(docs: DataFrame, name: str) -> DataFrame:
+    return docs.withColumn(name, F.sha2(F.concat_ws("\x00", F.col("doc_id").cast("string"), F.coalesce("source", F.lit("\x01")), F.coalesce("lang", F.lit("\x01")), "text"), 256))
+
+
+def _small(df: DataFrame) -> tuple[DataFrame, bool]:
+    """df, kept, and marked for a broadcast if it has FEW rows at most; whether it has."""
+    df = cut(df)
+    few = df.count() <= FEW
+    return (F.broadcast(df) if few else df), few
 
 
 def op4_secrets(docs: DataFrame) -> DataFrame:
     """Contract columns of op4 for every row of docs."""
-    keyed = _keyed(docs.select("doc_id", "text", "source", "lang"))
-    found = scan(keyed, ["_key"]).drop("live")
+    keyed = _keyed(docs.select("doc_id", "text", "source", "lang"), "_key")
+    found, _ = _small(scan(keyed, ["_key"]).drop("live"))
     rows = keyed.select("doc_id", "_key").join(found, "_key", "left")
     none = F.lit(0).cast("long")
     return rows.select("doc_id", *[F.coalesce(f"n_{k}", none).alias(f"n_{k}") for k, _, _ in KINDS], F.coalesce("base_sha256", F.sha2(F.lit(""), 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
@@ -100,18 +120,20 @@ def op4_secrets(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with the value of every candidate replaced by mark, save those of widely copied examples."""
-    keyed = _keyed(docs)
-    found = scan(keyed, ["_key"]).select("_key", "live").where(F.size("live") > 0)
+    key, out, live = (unused(docs, n) for n in ("_key", "_out", "_live"))
+    found = scan(_keyed(docs.select("doc_id", "text", "source", "lang"), "_key"), ["_key"])
+    found, few = _small(found.where(F.size("live") > 0).select(F.col("_key").alias(key), F.col("live").alias(live)))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     t = F.col("text")
     step = lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(
         F.struct(s["end"].alias("at"), F.concat(acc["out"], F.when(s["start"] < acc["at"], F.lit("")).otherwise(F.concat(F.substr(t, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark)))).alias("out"))
     )
-    joined = keyed.where(F.col("text").rlike("|".join(p for _, p, _ in KINDS))).join(found, "_key", "left")
-    done = F.aggregate("live", start, step)
-    clean = joined.withColumn("_d", F.when(F.col("live").isNotNull(), done)).withColumn("text", F.when(F.col("live").isNull(), t).otherwise(F.concat("_d.out", F.substr(t, (F.col("_d.at") + 1).cast("int"), F.lit(2**31 - 1)))))
-    rest = docs.where(~F.coalesce(F.col("text").rlike("|".join(p for _, p, _ in KINDS)), F.lit(False)))
-    return rest.unionByName(clean.select(*docs.columns))
+    matches = F.coalesce(t.rlike("|".join(p for _, p, _ in KINDS)), F.lit(False))
+    joined = _keyed(docs if few else docs.where(matches), key).join(found, key, "left")
+    done = F.when(F.col(live).isNotNull(), F.aggregate(live, start, step))
+    clean = joined.withColumn(out, done).withColumn("text", F.when(F.col(out).isNull(), t).otherwise(F.concat(F.col(out)["out"], F.substr(t, (F.col(out)["at"] + 1).cast("int"), F.lit(2**31 - 1)))))
+    clean = clean.select(*docs.columns)
+    return clean if few else docs.where(~matches).unionByName(clean)  # texts without a match are never shuffled
 
 
 def op4_sql() -> str:
@@ -128,8 +150,8 @@ ex AS (SELECT rid, source, lang, kind, ord, least, unnest(range(1, len(m) + 1))
 sp AS (SELECT rid, source, lang, kind, ord, least, v[i] AS val,
   list_sum(list_transform(p[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))) AS e, length(m[i]) AS n FROM ex),
 base AS (SELECT rid, source, lang, kind, ord, (e - n)::BIGINT AS s, e::BIGINT AS e, val FROM sp WHERE length(val) >= least),
-freq AS (SELECT val, count(DISTINCT coalesce(source, '')) AS owners FROM base GROUP BY val),
-cls AS (SELECT b.*, CASE WHEN owners >= {EXAMPLE_OWNERS} THEN 'example' WHEN length(val) >= 12 AND regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]') AND NOT regexp_matches(val, '{PLACEHOLDER}') THEN 'live' ELSE 'weak' END AS class FROM base b JOIN freq USING (val)),
+freq AS (SELECT val, count(DISTINCT coalesce(source, '')) AS owners, count(DISTINCT (coalesce(source, ''), coalesce(concat_ws('/', source, lang), ''))) AS repositories FROM base GROUP BY val),
+cls AS (SELECT b.*, CASE WHEN owners >= {EXAMPLE_OWNERS} OR owners > 1 AND repositories >= {EXAMPLE_REPOSITORIES} THEN 'example' WHEN length(val) >= 12 AND regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]') AND NOT regexp_matches(val, '{PLACEHOLDER}') THEN 'live' ELSE 'weak' END AS class FROM base b JOIN freq USING (val)),
 more AS (SELECT DISTINCT rid, class AS kind, CASE class WHEN 'example' THEN 3 ELSE 4 END AS ord, e - length(val) AS s, e FROM cls WHERE class <> 'weak'),
 spans AS (SELECT rid, {names("spans")} FROM (SELECT rid, kind, ord, s, e FROM base UNION ALL SELECT rid, kind, ord, s, e FROM more) GROUP BY rid),
 agg AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, sha256({names("x").removesuffix(" AS x")}) AS base_sha256 FROM base GROUP BY rid)
