@@ -1,7 +1,7 @@
 """Exact k nearest by integer inner product: a Voronoi join.
 
-Data and queries are grouped by their nearest pivot; PIVOTS rows drawn by hash are the pivots, so at most that many vectors
-reach the driver. Each group's summary (rows, radius, largest norm) bounds the product of any query with any member:
+Data and queries are grouped by their nearest pivot; rows drawn by hash are the pivots, as many as the root of the rows, but
+PIVOTS at least and MOST_PIVOTS at most, so that no more vectors reach the driver. Each group's summary (rows, radius, largest norm) bounds the product of any query with any member:
 q.p + |q| * radius, and |q| * norm. A query first meets its home group; its k-th score there is a floor, and it is copied
 only to groups whose bound reaches the floor. Groups are cut into blocks of data (BLOCK) and of queries (QUERIES), so that
 a common vector or a popular group loads no single task. Every block is solved exactly and only scores above the floor
@@ -11,7 +11,8 @@ Components become floor(256 * x). Vectors that are null or hold a null or non-fi
 no part. Shorter vectors count as filled up with zeros. Products too large for doubles are computed with whole numbers and
 held at the limits of a long. Equal scores go to the smaller id; a query's own id is never an answer, also where rows repeat.
 Rows that repeat an id count each, as queries and as answers, as in the SQL: a pair of rows meets once, in the query row's
-home group or in another one, and the k ranks of an id are the best pairs of all its rows.
+home group or in another one, and the k ranks of an id are the best pairs of all its rows. An empty table has no answers.
+Other columns of the input, of whatever names, are not looked at.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-PIVOTS, BLOCK, QUERIES = 64, 4096, 1024
+PIVOTS, MOST_PIVOTS, BLOCK, QUERIES = 64, 4096, 4096, 1024
 
 
 def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -72,10 +73,10 @@ def _solve(q_ids, q, floors, ids, x, k):
 
 def _meet(queries: DataFrame, data: DataFrame, sizes: dict[int, int], width: int, k: int) -> DataFrame:
     """queries: id, v, g, floor. data: id, v, g. Blocks of both that share a group meet."""
-    asked = {r[0]: r[1] for r in queries.groupBy("g").count().collect()}  # PIVOTS rows at most
+    asked = {r[0]: r[1] for r in queries.groupBy("g").count().collect()}  # a row for each pivot at most
     spark = data.sparkSession
     plan = spark.createDataFrame([(g, -(-n // QUERIES), -(-sizes.get(g, 1) // BLOCK)) for g, n in asked.items()], "g int, qb int, db int")
-    plan = F.broadcast(plan)  # PIVOTS rows at most
+    plan = F.broadcast(plan)  # a row for each pivot at most
     left = queries.join(plan, "g").withColumn("qb", F.pmod(F.xxhash64("id"), "qb")).withColumn("db", F.explode(F.sequence(F.lit(0), F.col("db") - 1)))
     right = data.join(plan, "g").withColumn("db", F.pmod(F.xxhash64("id"), "db")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)))
     keys = ["g", F.col("qb").cast("int").alias("qb"), F.col("db").cast("int").alias("db")]
@@ -101,8 +102,8 @@ def _best(rows: DataFrame, k: int) -> DataFrame:
 def exact_top_k(vectors: DataFrame, id_col: str, vector: str, is_query, k: int) -> DataFrame:
     """query_id, rank, vec_id, score. is_query: column function of the id."""
     rows = usable(vectors, id_col, vector).withColumn("v", F.transform("v", _floor))
-    width = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
-    drawn = rows.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(PIVOTS).collect()
+    width, count = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.count("*")).first()
+    drawn = rows.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(min(max(PIVOTS, int(count**0.5)), MOST_PIVOTS)).collect()
     empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not drawn or not width:
         return empty
@@ -120,7 +121,7 @@ def exact_top_k(vectors: DataFrame, id_col: str, vector: str, is_query, k: int)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(g.astype(np.int32)), pa.array(dist), pa.array(np.sqrt((x**2).sum(1)))], ["id", "v", "g", "dist", "norm"])
 
     data = cut(rows.mapInArrow(nearest, "id long, v array<double>, g int, dist double, norm double"))
-    summary = data.groupBy("g").agg(F.count("*").alias("n"), F.max("dist").alias("radius"), F.max("norm").alias("norm")).collect()  # PIVOTS rows at most
+    summary = data.groupBy("g").agg(F.count("*").alias("n"), F.max("dist").alias("radius"), F.max("norm").alias("norm")).collect()  # a row for each pivot at most
     sizes = {r.g: r.n for r in summary}
     queries = data.where(is_query(F.col("id")))
     lowest = F.lit(-(1 << 63)).cast("long")
