@@ -10,7 +10,9 @@ pass whose transitions cost nothing or are barred, and the result equals the mod
 whose pieces tie in score, are merged directly.
 
 Null texts have null ids; empty texts have none. Characters outside the vocabulary become byte pieces. Decoding returns the
-text unless normalisation changed it. A word's cost is linear in its length; the cache of words is bounded (CACHE).
+text unless normalisation changed it. A word's cost is linear in its length, that of a run of marks n log n; the cache of
+words is bounded (CACHE). Ties in score go to the leftmost pair. Repeated rows each get their ids; an empty table gives no
+rows; very long texts are whole words like others; other columns of the input may have any names.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from heapq import heappop, heappush
 from pathlib import Path
 
 import numpy as np
@@ -59,18 +62,31 @@ class Pieces:
         self.cache: dict[str, bytes] = {}
 
     def merged(self, word: str) -> tuple[list[str], tuple[str, str]]:
-        """Pieces by merging: best score first, then leftmost. Also the two sides of the last merge."""
+        """Pieces by merging: best score first, then leftmost. Also the two sides of the last merge. A heap holds the pairs."""
         parts, sides = list(word), ("", "")
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                k = self.id.get(parts[i] + parts[i + 1])
-                if k is not None and (best is None or self.score[k] > best):
-                    best, at = self.score[k], i
-            if best is None:
-                return parts, sides
-            sides = (parts[at], parts[at + 1])
-            parts[at : at + 2] = [sides[0] + sides[1]]
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        heap: list[tuple[float, int, str]] = []
+
+        def offer(i: int) -> None:
+            if i >= 0 and after[i] < len(parts):
+                k = self.id.get(parts[i] + parts[after[i]])
+                if k is not None:
+                    heappush(heap, (-self.score[k], i, parts[i] + parts[after[i]]))
+
+        for i in range(len(parts) - 1):
+            offer(i)
+        while heap:
+            _, i, text = heappop(heap)
+            j = after[i]
+            if parts[i] is None or j >= len(parts) or parts[i] + parts[j] != text:
+                continue  # one of the two has been merged since
+            sides = (parts[i], parts[j])
+            parts[i], parts[j], after[i] = text, None, after[j]
+            if after[j] < len(parts):
+                before[after[j]] = i
+            offer(i)
+            offer(before[i])
+        return [p for p in parts if p is not None], sides
 
     def sides(self, r: int) -> tuple[int, int] | None:
         """The two pieces that merge to r, r twice for a character; none if its text doesn't merge to it."""
