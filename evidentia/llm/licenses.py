@@ -1,16 +1,18 @@
 """Licence families of the paragraphs of whole texts.
 
 A softmax regression over sparse word n-grams (one to three words) is trained on the templates below, on fragments of
-them, and on a bounded sample of the corpus's own paragraphs as the unknown class. The unknown class is calibrated: the
-least probability that names a family is the one that at most one in a thousand of held-out corpus paragraphs exceeds,
-LEAST_PROBABILITY at least. A named family counts only if one of its templates is found in the paragraph: CONTAINED of the
+them, and on a bounded sample of the corpus's own lines as the unknown class: a line, at any place, of each of SAMPLE texts
+drawn by hash, without those that hold a template. The unknown class is calibrated: the least probability that names a
+family is the one that at most one in a thousand of the sampled lines that training left out exceeds, LEAST_PROBABILITY at
+least; with fewer than a thousand such lines it is the largest of theirs. A named family counts only if one of its templates is found in the paragraph: CONTAINED of the
 template's n-grams of two and three words.
 
 Each line is looked at, and then each passage of lines without an empty one between them (a line without a word is empty):
 where CONTAINED of a template lies within SPREAD times its words, across any line ends, the words from the first to the last
 of its n-grams there are a wrapped notice, and classified like a line. It counts, once for a family and passage, if no line
 of the passage has that family already. n_paragraphs counts lines with a notice and wrapped notices. Null and empty texts have no licence. Repeated rows each get their result; ties between families go
-to the alphabetically first. Only paragraphs that share n-grams with a template are looked at closely, so cost is that of
+to the alphabetically first; very long texts cost time in proportion to their length; an empty table gives no rows; other
+columns of the input may have any names. Only paragraphs that share n-grams with a template are looked at closely, so cost is that of
 hashing the words.
 """
 
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 
 BITS, LEAST_PROBABILITY, CONTAINED, SPREAD = 18, 0.6, 0.75, 1.5
+#: Sampled texts, and how many of their lines train the unknown class; the others calibrate it.
+SAMPLE, TRAIN = 4000, 1000
 _SALTS = (tb.U(0x9E3779B97F4A7C15), tb.U(0xC2B2AE3D27D4EB4F))
 # Customary notices, after the public licences.
 TEMPLATES = {
@@ -79,7 +83,9 @@ def _sets(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each text its distinct buckets, and those of two and three words."""
     data, off = tb.flat(pa.array(texts, pa.string()))
     bucket, owner, n, _ = grams(data, off)
-    return [(np.unique(bucket[owner == i]), np.unique(bucket[(owner == i) & (n > 1)])) for i in range(len(texts))]
+    order = np.argsort(owner, kind="stable")
+    bucket, n, edge = bucket[order], n[order], np.searchsorted(owner[order], np.arange(len(texts) + 1))
+    return [(np.unique(bucket[a:b]), np.unique(bucket[a:b][n[a:b] > 1])) for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
 class Model:
@@ -141,7 +147,9 @@ def fit(sample: list[str], *, epochs: int = 60, rate: float = 0.5, l2: float = 1
             target += [classes.index(family)] * 7
             texts += [" ".join(rng.permutation(w)), " ".join(w[: max(2, len(w) // 3)])]  # a few common words are no notice
             target += [classes.index(UNKNOWN)] * 2
-    held, used = sample[::4], [s for i, s in enumerate(sample) if i % 4]
+    notices = [t for _, t in _sets([line for lines in TEMPLATES.values() for line in lines])]
+    sample = [line for line, (_, own) in zip(sample, _sets(sample), strict=True) if not any(np.isin(t, own).mean() >= CONTAINED for t in notices)]
+    used, held = sample[:TRAIN], sample[TRAIN:]
     texts += used
     target += [classes.index(UNKNOWN)] * len(used)
     rows, y = [s[0] for s in _sets(texts)], np.array(target)
@@ -158,15 +166,19 @@ def fit(sample: list[str], *, epochs: int = 60, rate: float = 0.5, l2: float = 1
     model = Model(classes, weights, bias)
     wrong = sorted(p if k != UNKNOWN else 0.0 for k, p in (model.classify(s[0]) for s in _sets(held) if len(s[0])) )
     if wrong:
-        model.least = max(LEAST_PROBABILITY, wrong[min(len(wrong) - 1, int(0.999 * len(wrong)))])
+        model.least = max(LEAST_PROBABILITY, wrong[-1 - len(wrong) // 1000])
     return model
 
 
-def corpus_sample(docs: DataFrame, texts: int = 300, length: int = 400) -> list[str]:
-    """A line of each of a bounded number of texts, drawn by hash; only for training the unknown class."""
-    line = F.element_at(F.split("text", "\n"), 1)
-    drawn = docs.where(F.length("text") > 0).select(F.xxhash64("doc_id", F.lit(5)).alias("h"), F.substring(line, 1, length).alias("line"))
-    return [r[1] for r in drawn.orderBy("h", "line").limit(texts).collect() if not r[1].lower().count("licen")]
+def corpus_sample(docs: DataFrame, texts: int = SAMPLE, length: int = 400) -> list[str]:
+    """A line of each of a bounded number of texts, both drawn by hash; only for training and calibrating the unknown class."""
+    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0)
+    draw = F.xxhash64("doc_id", F.xxhash64("text"), F.lit(5))
+    share = min(1.0, 2 * texts / max(1, docs.count()))
+    drawn = docs.select(draw.alias("h"), "text").where(F.pmod("h", F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    line = F.get(lines, F.pmod(F.xxhash64("h"), F.greatest(F.size(lines), F.lit(1))).cast("int"))
+    drawn = drawn.select("h", F.substring(line, 1, length).alias("line")).where(F.length("line") > 0)
+    return [r[1] for r in drawn.orderBy("h", "line").limit(texts).collect()]
 
 
 def looked(m: Model, bucket: np.ndarray, owner: np.ndarray, n: np.ndarray, word: np.ndarray, count: int):
