@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: Frees the shuffle files of a query when it ends; what cut() has written is read from the checkpoint.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-ROWS_A_TASK = 250_000
+ROWS_A_TASK, LEAST_ROWS_A_TASK, FEWEST_TASKS = 250_000, 20_000, 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,9 +47,11 @@ def parts(spark: SparkSession) -> int:
 
 
 def deal(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """df dealt out by key: to the session's number of partitions, which may be merged, or to more if rows need them."""
-    need = -(-rows // ROWS_A_TASK)
-    return df.repartition(need, key) if need > parts(df.sparkSession) else df.repartition(key)
+    """df dealt out by key: to the session's number of partitions, to more if rows need them, and merged to fewer if few do."""
+    have, most, least = parts(df.sparkSession), -(-rows // ROWS_A_TASK), max(FEWEST_TASKS, -(-rows // LEAST_ROWS_A_TASK))
+    if most > have:
+        return df.repartition(most, key)
+    return df.repartition(key).coalesce(least) if least < have else df.repartition(key)
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -126,13 +126,16 @@ def local_join(groups: DataFrame, width: int, rows: int) -> DataFrame:
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 if b - a < 2:
                     continue
-                own = ids[a:b]
-                s = _closeness(q[a:b])
+                own, once = np.unique(ids[a:b], return_index=True)  # a neighbour may name the row, too
+                s = _closeness(q[a:b][once])
                 np.fill_diagonal(s, -np.inf)
+                least, b = floor[a:b][once], a + len(own)
+                if b - a < 2:
+                    continue
                 n = min(OFFERS if b - a < BUCKET // 2 else DEGREE, b - a - 1)
                 top = np.argpartition(-s, n - 1, axis=1)[:, :n]
                 got = np.take_along_axis(s, top, 1)
-                at, which = np.nonzero(got > floor[a:b, None])
+                at, which = np.nonzero(got > least[:, None])
                 to.append(own[at])
                 near.append(own[top[at, which]])
                 score.append(got[at, which])
@@ -150,23 +153,30 @@ def local_join(groups: DataFrame, width: int, rows: int) -> DataFrame:
 
 
 def merge(lists: DataFrame, keep: int, rows: int) -> DataFrame:
-    """id, q, list: the best entries of all lists of an id, without repeats, best first; floor: the last score, if the list is full."""
+    """id, q, list: the best entries of all lists of an id, without repeats, best first; floor: the last score, if the list is full.
+
+    lists: id, q, list. A row with q is the id's list so far, whose entries are old; fresh: how many of the list are not.
+    """
 
     def run(batches):
         for t in _whole_runs(batches):
-            ids = t.column(0).to_numpy()
+            ids, q = t.column(0).to_numpy(), t.column(2).combine_chunks()
             entry, count = _entries(t.column(1))
+            so_far = q.is_valid().to_numpy(zero_copy_only=False)
+            entry = entry.copy()
+            entry["old"] = np.repeat(so_far, count)
             owner, entry = _best(np.repeat(ids, count), entry, keep)
             edge = _runs(owner)
             full = np.diff(edge) == keep
             floor = np.where(full, entry["s"][edge[1:] - 1], -np.inf) if len(owner) else np.zeros(0)
-            has = np.flatnonzero(t.column(2).is_valid().to_numpy())
-            named = dict(zip(ids[has].tolist(), t.column(2).combine_chunks().take(pa.array(has)).to_pylist(), strict=True))
+            new = np.add.reduceat(1 - entry["old"].astype(np.int64), edge[:-1]) if len(owner) else np.zeros(0, np.int64)
+            has = np.flatnonzero(so_far)
+            where = dict(zip(ids[has].tolist(), has.tolist(), strict=True))
             who = owner[edge[:-1]]
-            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array([named.get(i) for i in who.tolist()], pa.binary()), _lists(entry, edge), pa.array(floor.astype(np.float32))], ["id", "q", "list", "floor"])
+            own = q.take(pa.array([where.get(i) for i in who.tolist()], pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(who), own, _lists(entry, edge), pa.array(floor.astype(np.float32)), pa.array(new)], ["id", "q", "list", "floor", "fresh"])
 
-    ready = lists.select("id", "list", "q" if "q" in lists.columns else F.lit(None).cast("binary").alias("q"))
-    return deal(ready, "id", rows).sortWithinPartitions("id").mapInArrow(run, "id long, q binary, list binary, floor float")
+    return deal(lists.select("id", "list", "q"), "id", rows).sortWithinPartitions("id").mapInArrow(run, "id long, q binary, list binary, floor float, fresh long")
 
 
 def _edges(state: DataFrame) -> DataFrame:
@@ -185,7 +195,7 @@ def _circle(state: DataFrame, reverse: int) -> DataFrame:
     edges = _edges(state)
     w = Window.partitionBy("b").orderBy(F.xxhash64("a", "b"), "a")
     back = edges.withColumn("n", F.row_number().over(w)).where(F.col("n") <= reverse)
-    return edges.select(F.col("a").alias("g"), F.col("b").alias("id")).unionByName(back.select(F.col("b").alias("g"), F.col("a").alias("id"))).distinct()
+    return edges.select(F.col("a").alias("g"), F.col("b").alias("id")).unionByName(back.select(F.col("b").alias("g"), F.col("a").alias("id")))
 
 
 def build(nodes: DataFrame, rows: int, width: int) -> DataFrame:
@@ -199,21 +209,20 @@ def build(nodes: DataFrame, rows: int, width: int) -> DataFrame:
             for t in range(TABLES if bits else 0):
                 code = ((x @ planes[t]) > 0).astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(code * (TABLES + 1) + t), b.column(0)], ["code", "id"])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), TABLES)), b.column(0)], ["code", "id"])  # one bucket: blocks at random
+            block = (b.column(0).to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(-(-rows // BUCKET))
+            yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int64) * (TABLES + 1) + TABLES), b.column(0)], ["code", "id"])  # at random
 
     coded = cut(nodes.select("id", "q").mapInArrow(codes, "code long, id long"))
     blocks = coded.groupBy("code").agg(F.ceil(F.count("*") / BUCKET).alias("blocks"))
     start = coded.join(blocks, "code").withColumn("g", F.xxhash64("code", F.pmod(F.xxhash64("id", "code"), "blocks")))
-    lowest = F.lit(float("-inf")).cast("float")
-    state = cut(merge(local_join(start.join(nodes, "id").select("g", "id", "q", lowest.alias("floor")), width, rows * TABLES), DEGREE, rows * TABLES).drop("q"))
+    lowest, none = F.lit(float("-inf")).cast("float"), F.lit(None).cast("binary").alias("q")
+    offers = local_join(start.join(nodes, "id").select("g", "id", "q", lowest.alias("floor")), width, rows * TABLES)
+    empty = nodes.select("id", F.lit(b"").alias("list"), "q")
+    state = cut(merge(empty.unionByName(offers.select("id", "list", none)), DEGREE, rows * TABLES))
     for _ in range(ROUNDS):
-        here = nodes.join(state.select("id", "floor"), "id", "left").select("id", "q", F.coalesce("floor", lowest).alias("floor"))
-        offers = local_join(_circle(state, REVERSE).join(here, "id"), width, rows * (DEGREE + REVERSE))
-        nxt = cut(merge(state.select("id", "list").unionByName(offers), DEGREE, rows * OFFERS).drop("q"))
-        old, new = state.select("id", F.col("floor").alias("f")), nxt.select("id", "floor")
-        moved = new.join(old, "id").agg(F.avg((F.col("floor") > F.col("f")).cast("double"))).first()[0] or 0.0
-        state = nxt
-        if moved < SETTLED:
+        offers = local_join(_circle(state, REVERSE).join(state.select("id", "q", "floor"), "id"), width, rows * (DEGREE + REVERSE))
+        state = cut(merge(state.select("id", "list", "q").unionByName(offers.select("id", "list", none)), DEGREE, rows * OFFERS))
+        if state.agg(F.coalesce(F.sum("fresh"), F.lit(0))).first()[0] < SETTLED * DEGREE * rows:
             break
     return state
 
@@ -254,13 +263,6 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, width: int, r
             at, take = at[new], pa.array(at[new])
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(entry["id"][new]), b.column(3).take(take)], ["id", "q", "g", "floor"])
 
-    def marked(batches):
-        for b in batches:
-            entry, count = _entries(b.column(2))
-            entry = entry.copy()
-            entry["old"] = 1
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(entry, np.concatenate([[0], np.cumsum(count)])), b.column(1)], ["id", "list", "q"])
-
     def expand(batches):
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
@@ -276,16 +278,15 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, width: int, r
                 edge = _runs(owner)
                 yield pa.RecordBatch.from_arrays([pa.array(owner[edge[:-1]]), _lists(entry, edge)], ["id", "list"])
 
-    pool = queries.select("id", "q").mapInArrow(greet, "id long, list binary, q binary")
-    pool = cut(merge(pool, WIDTH, rows))
+    pool = cut(queries.select("id", "q").mapInArrow(greet, "id long, list binary, q binary").withColumns({"floor": F.lit(float("-inf")).cast("float"), "fresh": F.lit(HEADS).cast("long")}))
     for _ in range(STEPS):
-        todo = cut(pool.select("id", "q", "list", "floor").mapInArrow(fresh, "id long, q binary, g long, floor float"))
-        count = todo.count()
+        count = pool.agg(F.coalesce(F.sum("fresh"), F.lit(0))).first()[0]
         if not count:
             break
+        todo = pool.select("id", "q", "list", "floor").mapInArrow(fresh, "id long, q binary, g long, floor float")
         sent = (F.broadcast(todo) if count <= FEW else todo).join(fat, "g").select("id", "ids", "qs", "q", "floor")
         found = sent.mapInArrow(expand, "id long, list binary").withColumn("q", F.lit(None).cast("binary"))
-        pool = cut(merge(pool.select("id", "q", "list").mapInArrow(marked, "id long, list binary, q binary").unionByName(found), WIDTH, count))
+        pool = cut(merge(pool.select("id", "list", "q").unionByName(found), WIDTH, count))
     return pool
 
 
