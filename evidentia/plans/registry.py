@@ -19,5 +19,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-for _name in ("communication", "case_timeline", "flows", "scoping", "networks", "texts", "oversight", "chains"):
+for _name in ("communication", "case_timeline", "flows", "scoping", "networks", "texts", "oversight", "chains", "normal_forms", "case_graph", "scores", "social", "records"):
     importlib.import_module(f"evidentia.plans.{_name}")
