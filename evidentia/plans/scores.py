@@ -1 +1,91 @@
-"""Filled below."""
+"""Anomaly scores, the evidence model and entity resolution over the given tables."""
+
+from pyspark.sql import functions as F
+
+from ..functions import normal as n
+from ..operators import anomaly, evidence, resolution
+from ..operators import events as ev
+from ..sources.tables import EVENTS_SQL as EV
+from ..sources.tables import case_events, table
+from .registry import query
+
+S = "CAST(floor(epoch(ts)) AS BIGINT)"
+
+
+@query("anomaly_features", f"WITH {EV}, t AS (SELECT entity AS e, value, event_type FROM ev UNION ALL SELECT related, value, event_type FROM ev WHERE related IS NOT NULL) SELECT e::VARCHAR AS entity, count(*) AS events, round(sum(value), 2) AS amount, count(DISTINCT event_type) AS kinds FROM t GROUP BY 1")
+def anomaly_features(spark, d):
+    e = case_events(spark, d)
+    t = e.select(F.col("entity").alias("e"), "value", "event_type").unionByName(e.where("related IS NOT NULL").select(F.col("related").alias("e"), "value", "event_type"))
+    return t.groupBy(F.col("e").cast("string").alias("entity")).agg(F.count("*").alias("events"), F.round(F.sum("value"), 2).alias("amount"), F.countDistinct("event_type").alias("kinds"))
+
+
+@query("anomaly_scores")
+def anomaly_scores(spark, d):
+    e = case_events(spark, d).where("related IS NOT NULL")
+    links = e.select(F.col("entity").cast("string").alias("entity"), "related").unionByName(e.select(F.col("related").cast("string").alias("entity"), F.col("entity").alias("related")))
+    deg = links.groupBy("entity").agg(F.count("*").alias("degree"), F.countDistinct("related").alias("partners"))
+    rows = anomaly_features(spark, d).join(deg, "entity", "left").na.fill(0).withColumn("case", F.lit("all"))
+    return anomaly.anomaly_scores(rows, ["degree", "partners", "amount", "events"])
+
+
+@query("knn_embeddings", "WITH q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q.vec_id AS query, e.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS c FROM q JOIN embeddings e ON e.vec_id <> q.vec_id) SELECT query, id, round(c, 4) AS cosine, row_number() OVER (PARTITION BY query ORDER BY round(c, 6) DESC, id)::INTEGER AS rank FROM s QUALIFY rank <= 5")
+def knn_embeddings(spark, d):
+    """The five rows of greatest cosine of every row whose id is divisible by 50, among all others."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return resolution.nearest_by_cosine(v, F.col("id") % 50 == 0, 5).select("query", "id", F.round("cosine", 4).alias("cosine"), "rank")
+
+
+@query("entity_resolution")
+def entity_resolution(spark, d):
+    """Which parts the names of the nations and of the brands may mean; most mean none."""
+    p = table(spark, d, "part")
+    records = p.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.array("p_brand", F.concat(F.lit("P"), F.col("p_partkey").cast("string"))).alias("identifiers"))
+    asked = p.select(F.col("p_brand").alias("value")).distinct().unionByName(table(spark, d, "nation").select(F.col("n_name").alias("value"))).select(F.col("value").alias("query"), "value")
+    return resolution.candidates(asked, records)
+
+
+def evidence_input(spark, d):
+    """Users and their counterparts as actors; clicks and views are contacts, purchases payments, the others stays at a place.
+
+    The five actors with most errors are suspects; each error is an alert.
+    """
+    e = case_events(spark, d).where("related IS NOT NULL").select(F.col("event_id").cast("string").alias("id"), ev.seconds(F.col("ts")).alias("t"), F.col("entity").cast("string").alias("a"), F.col("related").cast("string").alias("b"), F.col("value").alias("amount"), "event_type")
+    errors = e.where("event_type = 'error'").groupBy(F.col("a").alias("actor")).agg(F.count("*").alias("errors"))
+    top = errors.orderBy(F.desc("errors"), "actor").limit(5).select("actor", F.lit("suspect").alias("role"))
+    actors = e.select(F.explode(F.array("a", "b")).alias("actor")).distinct().join(top, "actor", "left")
+    apart = F.col("a") != F.col("b")
+    money, comm = e.where((F.col("event_type") == "purchase") & apart), e.where(F.col("event_type").isin("click", "view") & apart)
+    places = e.where(F.col("event_type").isin("signup", "error")).select("id", "t", F.col("b").alias("place"), F.col("a").alias("actor"))
+    docs = e.groupBy(F.col("a").alias("actor")).agg(F.countDistinct("event_type").alias("n"))
+    shared = e.groupBy("b").agg(F.countDistinct("a").alias("who")).where("who > 1").join(e.select("a", "b").distinct(), "b").groupBy(F.col("a").alias("actor")).agg(F.count("*").alias("n"))
+    alerts = errors.select("actor", (F.col("errors") * 0.3).alias("w"))
+    return actors, money, comm, places, docs, shared, alerts
+
+
+_EV = f"{EV}, e AS (SELECT event_id AS id, {S} AS t, entity::VARCHAR AS a, related::VARCHAR AS b, value AS amount, event_type FROM ev WHERE related IS NOT NULL), er AS (SELECT a AS actor, count(*) AS errors FROM e WHERE event_type = 'error' GROUP BY 1), seed AS (SELECT actor FROM er ORDER BY errors DESC, actor LIMIT 5), act AS (SELECT DISTINCT x AS actor FROM (SELECT a AS x FROM e UNION ALL SELECT b FROM e)), m AS (SELECT a AS actor, b AS other, amount, 'out' AS way FROM e WHERE event_type = 'purchase' AND a <> b UNION ALL SELECT b, a, amount, 'in' FROM e WHERE event_type = 'purchase' AND a <> b), c AS (SELECT a AS actor, b AS other, t FROM e WHERE event_type IN ('click', 'view') AND a <> b UNION ALL SELECT b, a, t FROM e WHERE event_type IN ('click', 'view') AND a <> b)"
+
+
+@query("evidence_counts", f"WITH {_EV}, ma AS (SELECT actor, sum(amount) AS v, greatest(count(DISTINCT other) FILTER (way = 'in'), count(DISTINCT other) FILTER (way = 'out')) AS fan, count(*) FILTER (other IN (SELECT actor FROM seed)) AS s FROM m GROUP BY 1), ca AS (SELECT actor, count(DISTINCT other) AS reach, count(*) FILTER (other IN (SELECT actor FROM seed)) AS s FROM c GROUP BY 1), cb AS (SELECT actor, max(n) AS burst FROM (SELECT actor, count(*) OVER (PARTITION BY actor ORDER BY t RANGE BETWEEN 21600 PRECEDING AND CURRENT ROW) AS n FROM c) GROUP BY 1) SELECT act.actor, round(coalesce(v, 0), 2) AS money_volume, coalesce(fan, 0)::DOUBLE AS money_fan, coalesce(ma.s, 0)::DOUBLE AS money_to_accused, coalesce(reach, 0)::DOUBLE AS comm_reach, coalesce(ca.s, 0)::DOUBLE AS comm_with_accused, coalesce(burst, 0)::DOUBLE AS comm_burst FROM act LEFT JOIN ma USING (actor) LEFT JOIN ca USING (actor) LEFT JOIN cb USING (actor)")
+def evidence_counts(spark, d):
+    f = evidence.features(*evidence_input(spark, d))
+    return f.select("actor", F.round("money_volume", 2).alias("money_volume"), "money_fan", "money_to_accused", "comm_reach", "comm_with_accused", "comm_burst")
+
+
+@query("evidence_features")
+def evidence_features(spark, d):
+    return evidence.features(*evidence_input(spark, d))
+
+
+@query("evidence_scores")
+def evidence_scores(spark, d):
+    return evidence.scores(evidence.features(*evidence_input(spark, d)))
+
+
+_LOOK = "o AS (SELECT c_custkey, regexp_replace(translate(lower(c_name), '013457$@!', 'oleastsai'), '[^a-z]', '', 'g') AS k FROM customer)"
+
+
+@query("same_handles", f"WITH {_LOOK} SELECT k AS handle_key, count(*) AS accounts, min(c_custkey) AS first_account FROM o GROUP BY 1 HAVING count(*) > 1")
+def same_handles(spark, d):
+    """Accounts whose handles are equal once look-alike characters are read as letters; one row for each group."""
+    c = table(spark, d, "customer").select("c_custkey", n.handle_key(F.col("c_name")).alias("handle_key"))
+    return c.groupBy("handle_key").agg(F.count("*").alias("accounts"), F.min("c_custkey").alias("first_account")).where("accounts > 1")
