@@ -68,13 +68,14 @@ def pseudonym(value: Column, kind: str, salt: str = "case") -> Column:
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * 6371.0 * F.asin(F.sqrt(a))
+    return 2 * 6371.0088 * F.asin(F.sqrt(a))
 
 
-def flagged(text: Column, category: str) -> Column:
-    """How many different words of the category's list stand in the text."""
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z]+", " "), F.lit(" "))
-    total = F.lit(0)
-    for w in LEXICON[category]:
-        total = total + padded.contains(f" {w} ").cast("int")
-    return total
+def words_of(text: Column) -> Column:
+    """The different words of a text, a-z only; for flagged()."""
+    return F.array_distinct(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+", " "), " "))
+
+
+def flagged(words: Column, category: str) -> Column:
+    """How many words of the category's list are among words."""
+    return F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in LEXICON[category]])))

@@ -5,17 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Event type -> category. Fixed values.
-CATEGORIES = {"click": "COMMUNICATION", "view": "COMMUNICATION", "purchase": "TRANSACTION", "signup": "REGISTRATION", "error": "INCIDENT"}
+# Event type -> category, and words within other types, in the order in which they are tried.
+CATEGORIES = {
+    "FIR_REGISTERED": "FIR / Legal", "OCCURRENCE_RECORDED": "Incident", "INVESTIGATION_ASSIGNED": "Investigation", "COMMUNICATION": "Communication", "CALL": "Communication", "CDR": "Communication", "SMS": "Communication",
+    "FINANCIAL": "Financial", "TRANSACTION": "Financial", "PAYMENT": "Financial", "VEHICLE": "Vehicle", "VEHICLE_MOVEMENT": "Vehicle", "VEHICLE_SIGHTING": "Vehicle", "LOCATION": "Location", "LOCATION_EVENT": "Location",
+    "VISIT": "Location", "MEETING": "Meeting", "MEET": "Meeting", "DOCUMENT": "Evidence", "EVIDENCE": "Evidence",
+}
+WORDS = (
+    (("CALL", "SMS", "MESSAGE", "CHAT", "COMM", "CDR", "WHATSAPP", "TELEGRAM"), "Communication"),
+    (("TRANSACT", "PAYMENT", "TRANSFER", "DEPOSIT", "WITHDRAW", "FINANC", "UPI", "NEFT", "IMPS", "CASH"), "Financial"),
+    (("VEHICLE", "SIGHT", "ANPR", "TOLL", "CHALLAN"), "Vehicle"),
+    (("MEET",), "Meeting"),
+    (("LOCATION", "VISIT", "ARRIVE", "DEPART", "TRAVEL", "MOVEMENT"), "Location"),
+    (("FIR", "CHARGE", "ARREST", "COURT", "BAIL", "SEIZ", "RECOVER"), "FIR / Legal"),
+    (("EVIDENCE", "DOCUMENT", "FORENSIC"), "Evidence"),
+    (("THEFT", "ROBBERY", "ASSAULT", "MURDER", "FRAUD", "INCIDENT", "OCCURRENCE", "OFFENCE", "OFFENSE", "KIDNAP"), "Incident"),
+)
+#: What the given event types stand for.
+GIVEN = {"click": "COMMUNICATION", "view": "COMMUNICATION", "purchase": "TRANSACTION", "signup": "REGISTRATION", "error": "INCIDENT"}
+
+
+def categorised(kind: Column) -> Column:
+    """Category of any event type: by its name, else by the first list with a word in it, else Other."""
+    k = F.regexp_replace(F.upper(F.trim(F.coalesce(kind, F.lit("EVENT")))), " ", "_")
+    out = F.when(k == "", "Other")
+    for name, c in CATEGORIES.items():
+        out = out.when(k == name, c)
+    for words, c in WORDS:
+        out = out.when(k.rlike("|".join(words)), c)
+    return out.otherwise("Other")
 
 
 def category(kind: Column) -> Column:
     out = F.lit("OTHER")
-    for k, v in CATEGORIES.items():
+    for k, v in GIVEN.items():
         out = F.when(kind == k, v).otherwise(out)
     return out
 
 
+def communication(ev: DataFrame) -> DataFrame:
+    return ev.where(category(F.col("event_type")) == "COMMUNICATION")
+
+
 def late_hour(ts: Column) -> Column:
     """22:00 to 05:59."""
     return (F.hour(ts) >= 22) | (F.hour(ts) <= 5)

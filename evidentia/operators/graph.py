@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
+    """Materialised in the shared checkpoint folder. Only a local master, as in tests, gets a temporary one where none is set."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evidentia-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="evidentia-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -28,28 +34,29 @@ def degrees(pairs: DataFrame) -> DataFrame:
     return both_ways(pairs).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"))
 
 
-def components(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """node, component (smallest node). Labels move along edges and along labels, so long paths take logarithmic rounds."""
     e = cut(both_ways(pairs))
     label = cut(e.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
-    for _ in range(rounds):
+    while True:
         near = e.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
         step = label.join(near, "node").select("node", F.least("component", "m").alias("c"))
         hop = step.select(F.col("node").alias("c"), F.col("c").alias("cc"))
         nxt = cut(step.join(hop, "c").select("node", F.least("c", "cc").alias("component")))
-        moved = not nxt.exceptAll(label).isEmpty()
+        moved = not nxt.join(label, ["node", "component"], "left_anti").isEmpty()
         label = nxt
         if not moved:
-            break
-    return label
+            return label
 
 
-def distances(pairs: DataFrame, sources: DataFrame, most: int = 20) -> DataFrame:
-    """source, node, distance: breadth-first from every source, most steps at most."""
+def distances(pairs: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """source, node, distance: breadth-first from every source; most steps, where the question has a limit."""
     e = cut(both_ways(pairs))
     known = cut(sources.select(F.col("node").alias("source"), "node", F.lit(0).cast("long").alias("distance")))
     front = known
-    for _ in range(most):
+    step = 0
+    while most is None or step < most:
+        step += 1
         nxt = front.withColumnRenamed("node", "a").join(e, "a").select("source", F.col("b").alias("node"), (F.col("distance") + 1).alias("distance")).distinct()
         front = cut(nxt.join(known, ["source", "node"], "left_anti"))
         if front.isEmpty():
@@ -100,8 +107,10 @@ def common_neighbours(left: DataFrame) -> DataFrame:
 
 
 def closeness(dist: DataFrame) -> DataFrame:
-    """node, closeness from distances of all nodes: (reached / sum of distances), without the node itself."""
-    return dist.where("distance > 0").groupBy(F.col("source").alias("node")).agg((F.count("*") / F.sum("distance")).alias("closeness"))
+    """node, closeness from distances of all nodes: reached / sum of distances, scaled by the share of nodes that is reached."""
+    n = dist.agg(F.countDistinct("source").alias("n"))
+    c = dist.where("distance > 0").groupBy(F.col("source").alias("node")).agg(F.count("*").alias("k"), F.sum("distance").alias("far"))
+    return c.crossJoin(F.broadcast(n)).select("node", (F.col("k") / F.col("far") * F.col("k") / (F.col("n") - 1)).alias("closeness"))  # one row
 
 
 def hidden(pairs: DataFrame, dist: DataFrame, least: int = 2, most: int = 4) -> DataFrame:
@@ -110,7 +119,10 @@ def hidden(pairs: DataFrame, dist: DataFrame, least: int = 2, most: int = 4) ->
 
 
 def betweenness(pairs: DataFrame, sources: DataFrame) -> DataFrame:
-    """node, betweenness over the given sources, by counting shortest paths forward and shares backward with joins."""
+    """node, betweenness over the given sources, by counting shortest paths forward and shares backward with joins.
+
+    Normalised by the number of pairs; with fewer sources than nodes (pivots) it is scaled up to all of them.
+    """
     e = cut(both_ways(pairs))
     dist = distances(pairs, sources)
     deepest = dist.agg(F.max("distance")).first()[0] or 0
@@ -125,7 +137,9 @@ def betweenness(pairs: DataFrame, sources: DataFrame) -> DataFrame:
     for level in range(deepest, 0, -1):
         back = link.where(F.col("level") == level).join(share.withColumnRenamed("node", "b"), ["source", "b"]).groupBy("source", F.col("a").alias("node")).agg(F.sum(F.col("sa") / F.col("sb") * (1 + F.col("delta"))).alias("more"))
         share = cut(share.join(back, ["source", "node"], "left").select("source", "node", (F.col("delta") + F.coalesce("more", F.lit(0.0))).alias("delta")))
-    return share.where("source <> node").groupBy("node").agg((F.sum("delta") / 2).alias("betweenness"))
+    n, k = e.select("a").distinct().count(), dist.select("source").distinct().count()
+    scale = n / max(k, 1) / max((n - 1) * (n - 2), 1)
+    return share.where("source <> node").groupBy("node").agg((F.sum("delta") * scale).alias("betweenness"))
 
 
 def label_communities(pairs: DataFrame, rounds: int = 10) -> DataFrame:

@@ -32,9 +32,11 @@ def search(ent: DataFrame, needle: str, limit: int) -> DataFrame:
 
 
 def visible(cases: DataFrame, members: DataFrame, user, role: str) -> DataFrame:
-    """An administrator sees all cases, an auditor all but demonstrations; others see shared cases, their own, and those they are members of."""
+    """An administrator sees all cases, the demonstration role only demonstrations, an auditor all but those; others see shared cases, their own, and those they are members of."""
     if role == "admin":
         return cases
+    if role == "demo":
+        return cases.where("is_demo")
     if role == "auditor":
         return cases.where(~F.col("is_demo"))
     joined = members.where(F.col("member") == user).select("case_number").distinct().withColumn("_m", F.lit(True))

@@ -78,7 +78,7 @@ def current_versions(spark, d):
 
 
 _POINT = "10 + (related % 37) * 0.01 AS lat, 70 + (event_id % 53) * 0.01 AS lon"
-_KM = "2 * 6371.0 * asin(sqrt(pow(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2)))"
+_KM = "2 * 6371.0088 * asin(sqrt(pow(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2)))"
 
 
 @query("movement_legs", f"""WITH {EV}, p AS (SELECT entity, event_id, ts, {S} AS s, {_POINT} FROM ev WHERE related IS NOT NULL), l AS (SELECT *, lag(s) OVER w AS ps, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM p WINDOW w AS (PARTITION BY entity ORDER BY ts, event_id)),

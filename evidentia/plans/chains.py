@@ -31,13 +31,6 @@ def hash_chain_verify(spark, d):
     return e.select("entity", "seq", reason.alias("reason")).where("reason IS NOT NULL")
 
 
-@query("merkle_root")
-def merkle_root(spark, d):
-    w = Window.partitionBy("entity").orderBy("event_id")
-    e = case_events(spark, d).select("entity", (F.row_number().over(w) - 1).alias("i"), integrity.fingerprint("event_id", "event_type").alias("h"))
-    return integrity.merkle_levels(e, "entity", "i", "h")
-
-
 @query("stream_sliding_counts", f"WITH {EV}, w AS (SELECT entity, ({S} // 1800 - i) * 1800 AS start FROM ev, range(2) r(i)) SELECT entity, start::BIGINT AS start, count(*) AS n FROM w GROUP BY 1, 2")
 def stream_sliding_counts(spark, d):
     e = case_events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))

@@ -11,20 +11,20 @@ LATE = "(hour(ts) >= 22 OR hour(ts) <= 5)"
 S = "CAST(floor(epoch(ts)) AS BIGINT)"
 
 
-@query("cdr_top_pairs", f"WITH {EV} SELECT least(entity, related) AS a, greatest(entity, related) AS b, count(*) AS calls, round(sum(value), 2) AS duration, round(avg(CASE WHEN {LATE} THEN 1.0 ELSE 0.0 END), 4) AS late_share FROM ev WHERE related IS NOT NULL GROUP BY 1, 2 ORDER BY calls DESC, a, b LIMIT 25")
+@query("cdr_top_pairs", f"WITH {EV} SELECT least(entity, related) AS a, greatest(entity, related) AS b, count(*) AS calls, round(sum(value), 2) AS duration, round(avg(CASE WHEN {LATE} THEN 1.0 ELSE 0.0 END), 4) AS late_share FROM ev WHERE related IS NOT NULL AND event_type IN ('click', 'view') GROUP BY 1, 2 ORDER BY calls DESC, a, b LIMIT 25")
 def cdr_top_pairs(spark, d):
-    return ev.undirected_pairs(case_events(spark, d)).orderBy(F.desc("calls"), "a", "b").limit(25)
+    return ev.undirected_pairs(ev.communication(case_events(spark, d))).orderBy(F.desc("calls"), "a", "b").limit(25)
 
 
-@query("cdr_top_entities", f"WITH {EV} SELECT e AS entity, count(*) AS calls FROM (SELECT entity AS e FROM ev UNION ALL SELECT related FROM ev WHERE related IS NOT NULL) GROUP BY e ORDER BY calls DESC, e LIMIT 15")
+@query("cdr_top_entities", f"WITH {EV} SELECT e AS entity, count(*) AS calls FROM (SELECT entity AS e FROM ev WHERE event_type IN ('click', 'view') UNION ALL SELECT related FROM ev WHERE related IS NOT NULL AND event_type IN ('click', 'view')) GROUP BY e ORDER BY calls DESC, e LIMIT 15")
 def cdr_top_entities(spark, d):
-    e = case_events(spark, d).select(F.explode(F.array("entity", "related")).alias("entity")).where("entity IS NOT NULL")
+    e = ev.communication(case_events(spark, d)).select(F.explode(F.array("entity", "related")).alias("entity")).where("entity IS NOT NULL")
     return e.groupBy("entity").agg(F.count("*").alias("calls")).orderBy(F.desc("calls"), "entity").limit(15)
 
 
-@query("cdr_summary", f"WITH {EV} SELECT count(*) AS events, count(DISTINCT entity) AS entities, round(sum(value), 2) AS duration, count(*) FILTER ({LATE}) AS late FROM ev")
+@query("cdr_summary", f"WITH {EV} SELECT count(*) AS events, count(DISTINCT entity) AS entities, round(sum(value), 2) AS duration, count(*) FILTER ({LATE}) AS late FROM ev WHERE event_type IN ('click', 'view')")
 def cdr_summary(spark, d):
-    return case_events(spark, d).agg(F.count("*").alias("events"), F.countDistinct("entity").alias("entities"), F.round(F.sum("value"), 2).alias("duration"), F.count_if(ev.late_hour(F.col("ts"))).alias("late"))
+    return ev.communication(case_events(spark, d)).agg(F.count("*").alias("events"), F.countDistinct("entity").alias("entities"), F.round(F.sum("value"), 2).alias("duration"), F.count_if(ev.late_hour(F.col("ts"))).alias("late"))
 
 
 @query("late_hour_share", f"WITH {EV} SELECT event_type, round(avg(CASE WHEN {LATE} THEN 1.0 ELSE 0.0 END), 6) AS late_share FROM ev GROUP BY 1")

@@ -22,11 +22,11 @@ def money_top_edges(spark, d):
     return top_edges(spark, d, 15).select("src", "dst", F.round("total", 1).alias("total"), "n")
 
 
-@query("money_chains", f"WITH {EDGES}, top AS (SELECT * FROM edges ORDER BY total DESC, src, dst LIMIT 50) SELECT a.src, a.dst AS via, b.dst, round(least(a.total, b.total), 1) AS amount FROM top a JOIN top b ON a.dst = b.src AND b.dst <> a.src")
+@query("money_chains", f"WITH {EDGES}, top AS (SELECT * FROM edges ORDER BY total DESC, src, dst LIMIT 50) SELECT a.src, a.dst AS via, b.dst, round(least(a.total, b.total), 1) AS amount FROM top a JOIN edges b ON a.dst = b.src AND b.dst <> a.src")
 def money_chains(spark, d):
-    """Two legs over the 50 largest edges; the amount is the smaller leg."""
-    t = top_edges(spark, d)
-    a, b = t.select("src", F.col("dst").alias("via"), F.col("total").alias("x")), t.select(F.col("src").alias("via"), "dst", F.col("total").alias("y"))
+    """First legs are the 50 largest edges, second legs any; the amount is the smaller leg."""
+    t, e = top_edges(spark, d), edges(spark, d)
+    a, b = t.select("src", F.col("dst").alias("via"), F.col("total").alias("x")), e.select(F.col("src").alias("via"), "dst", F.col("total").alias("y"))
     return a.join(b, "via").where("dst <> src").select("src", "via", "dst", F.round(F.least("x", "y"), 1).alias("amount"))
 
 
@@ -37,9 +37,9 @@ def money_circular(spark, d):
     return a.where("a < b").join(b, ["a", "b"]).select("a", "b", F.round("x", 1).alias("forth"), F.round("y", 1).alias("back"))
 
 
-@query("money_high_value", f"WITH {FL} SELECT src, dst, amount FROM flow WHERE amount >= 95000")
+@query("money_high_value", f"WITH {FL} SELECT src, dst, round(amount, 2) AS amount FROM flow ORDER BY flow.amount DESC, src, dst LIMIT 15")
 def money_high_value(spark, d):
-    return money_flow(spark, d).where("amount >= 95000").select("src", "dst", "amount")
+    return money_flow(spark, d).orderBy(F.desc("amount"), "src", "dst").limit(15).select("src", "dst", F.round("amount", 2).alias("amount"))
 
 
 @query("money_totals", f"WITH {FL} SELECT round(sum(amount), 0) AS total, count(*) AS n, count(DISTINCT src) AS payers, count(DISTINCT dst) AS payees FROM flow")

@@ -71,7 +71,7 @@ def hidden_connections(spark, d, of=strong):
     return g.hidden(p, g.distances(p, p.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
 
 
-@query("closeness", f"{_REC} SELECT source AS node, round(count(*) / sum(distance), 6) AS closeness FROM best WHERE distance > 0 GROUP BY 1")
+@query("closeness", f"{_REC} SELECT source AS node, round(count(*) / sum(distance) * count(*) / ((SELECT count(*) FROM nodes) - 1), 6) AS closeness FROM best WHERE distance > 0 GROUP BY 1")
 def closeness(spark, d, of=strong):
     p = pairs(spark, d, of)
     c = g.closeness(g.distances(p, p.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
@@ -89,9 +89,13 @@ m AS (SELECT a.node AS src, b.node AS dst, CASE WHEN a.node IN (SELECT src FROM
 r AS (SELECT 0 AS i, node, 1.0::DOUBLE / n AS rank FROM nodes, c UNION ALL SELECT i + 1, s.dst, 0.15 / (SELECT n FROM c) + 0.85 * sum(s.p * r.rank) FROM r JOIN m s ON s.src = r.node WHERE i < 20 GROUP BY i, s.dst) SELECT node, round(rank, 6) AS rank FROM r WHERE i = 20"""
 
 
-@query("pagerank", _PR.format(e=EDGES))
+_UNDIRECTED = EDGES.replace("edges AS (SELECT", "directed AS (SELECT") + ", edges AS (SELECT DISTINCT src, dst, 1.0::DOUBLE AS total FROM (SELECT src, dst FROM directed UNION ALL SELECT dst, src FROM directed))"
+
+
+@query("pagerank", _PR.format(e=_UNDIRECTED))
 def pagerank(spark, d):
-    r = g.pagerank(edges(spark, d).select("src", "dst", F.col("total").alias("weight")))
+    """Over the undirected graph, every edge alike."""
+    r = g.pagerank(g.both_ways(g.simple(edges(spark, d), "total")).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1.0).alias("weight")))
     return r.select("node", F.round("rank", 6).alias("rank"))
 
 

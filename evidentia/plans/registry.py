@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
@@ -17,7 +16,3 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
-
-
-for _name in ("communication", "case_timeline", "flows", "scoping", "networks", "texts", "oversight", "chains", "normal_forms", "case_graph", "scores", "social", "records"):
-    importlib.import_module(f"evidentia.plans.{_name}")

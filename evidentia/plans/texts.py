@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..operators.social import phrase_hits
 from ..sources.tables import table
 from .registry import query
 
@@ -91,8 +92,8 @@ _FLAGS = f"f AS (SELECT doc_id, {_WORDS['insult']} AS insult, {_WORDS['contempt'
 
 
 def flags(spark, d):
-    x = table(spark, d, "documents").select("doc_id", *[t.flagged(F.col("text"), k).cast("long").alias(k) for k in t.LEXICON])
-    return x
+    x = table(spark, d, "documents").select("doc_id", t.words_of(F.col("text")).alias("words"))
+    return x.select("doc_id", *[t.flagged(F.col("words"), k).cast("long").alias(k) for k in t.LEXICON])
 
 
 @query("lexicon_flags", f"WITH {_FLAGS} SELECT doc_id, insult, contempt FROM f WHERE insult + contempt > 0")
@@ -124,15 +125,15 @@ def flag_auc(spark, d):
     return a.select(F.round((F.col("rs") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p"))), 6).alias("auc"))
 
 
-_TERMS = "t AS (SELECT item_id, lower(regexp_extract(text, '^([^ ]+ [^ ]+ [^ ]+ [^ ]+)', 1)) AS term FROM benchmark)"
+_PHRASE = r"' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> ''), ' ') || ' '"
 
 
-@query("watch_hits", f"WITH {_TERMS} SELECT item_id, doc_id FROM documents JOIN t ON term <> '' AND contains(lower(text), term)")
+@query("watch_hits", f"WITH n AS (SELECT doc_id, {_PHRASE} AS t FROM documents), b AS (SELECT item_id, {_PHRASE} AS p FROM benchmark) SELECT DISTINCT item_id, doc_id FROM n JOIN b ON contains(t, p) AND p <> '  '")
 def watch_hits(spark, d):
-    """Documents with a watched phrase of four words. The list is broadcast if small; each document is read once."""
-    w = table(spark, d, "benchmark").select("item_id", F.lower(F.regexp_extract("text", r"^([^ ]+ [^ ]+ [^ ]+ [^ ]+)", 1)).alias("term")).where("term <> ''")
-    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
-    return docs.join(w, F.contains("text", "term")).select("item_id", "doc_id")
+    """Documents that hold the whole phrase of a benchmark item, word by word."""
+    terms = table(spark, d, "benchmark").select(F.col("item_id").alias("term"), F.col("text").alias("phrase"))
+    hits = phrase_hits(table(spark, d, "documents").select(F.col("doc_id").alias("item"), "text"), terms)
+    return hits.select(F.col("term").alias("item_id"), F.col("item").alias("doc_id"))
 
 
 @query("triage_points", _LAB + " SELECT doc_id, (3 * score + 5 * toxic)::BIGINT AS points FROM l WHERE 3 * score + 5 * toxic > 0")

@@ -1,3 +1,4 @@
+import hashlib
 from collections import deque
 from itertools import combinations
 
@@ -45,7 +46,7 @@ def test_betweenness_equals_brute_force(spark, pairs):
             queue.extend([*p, x] for x in near[p[-1]] - set(p))
         for p in paths:
             for x in p[1:-1]:
-                want[x] += 1 / len(paths)
+                want[x] += 1 / len(paths) / ((len(near) - 1) * (len(near) - 2) / 2)
     got = graph.betweenness(pairs, spark.createDataFrame([(x,) for x in near], "node long"))
     assert {r.node: pytest.approx(r.betweenness) for r in got.collect()} == want
 
@@ -82,14 +83,18 @@ def test_chain_breaks(spark):
 
 
 def test_merkle(spark):
-    import hashlib
-
-    h = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    level = leaves = [h(str(i)) for i in range(5)]
-    while len(level) > 1:
-        level = [h(level[i] + level[min(i + 1, len(level) - 1)]) for i in range(0, len(level), 2)]
-    df = spark.createDataFrame([("g", i, x) for i, x in enumerate(leaves)], "g string, i long, h string")
-    assert integrity.merkle_levels(df, "g", "i", "h").first().root == level[0]
+    """Against the rule as published for logs: byte 0 before a leaf, byte 1 before a node, an odd last node moves up."""
+    h = lambda b: hashlib.sha256(b).digest()
+    for n in (1, 2, 3, 5, 8, 13):
+        leaves = [hashlib.sha256(bytes([k])).hexdigest() for k in range(n)]
+        level = [h(b"\x00" + bytes.fromhex(x)) for x in leaves]
+        while len(level) > 1:
+            level = [h(b"\x01" + level[k] + level[k + 1]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
+        df = spark.createDataFrame([("g", k, x) for k, x in enumerate(leaves)], "g string, i long, h string")
+        assert integrity.merkle_roots(df, "g", "i", "h").first().root == level[0].hex()
+        proofs = integrity.merkle_proofs(df, "g", "i", "h").withColumn("root", F.lit(level[0].hex()))
+        assert all(r.ok for r in proofs.select(integrity.merkle_verified(F.col("digest"), F.col("path"), F.col("root")).alias("ok")).collect())
+        assert n == 1 or not any(r.ok for r in proofs.select(integrity.merkle_verified(F.sha2("digest", 256), F.col("path"), F.col("root")).alias("ok")).collect())
 
 
 def test_imports(spark):
