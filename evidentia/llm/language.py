@@ -133,7 +133,7 @@ def sample_windows(labelled: DataFrame, text: str, lang: str, key: Column, per_c
             keep = np.flatnonzero((nth % stride == 0) & (nth // stride < per_text))
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows[keep]], pa.binary()), b.column(1).take(pa.array(owner[keep]))], ["window", "lang"])
 
-    picked = bounded_sample(labelled, lang, key, per_class).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    picked = bounded_sample(labelled, lang, F.xxhash64(key, F.col(text)), per_class).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     return picked.mapInArrow(take, "window binary, lang string").collect()
 
 
