@@ -40,7 +40,7 @@ def report(case: str, entities: DataFrame, relationships: DataFrame, alerts: Dat
 
 def _escaped(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
-    for a, b in (("\\\\", "\\\\\\\\"), (";", "\\\;"), (",", "\\\\,"), ("\r\n|\n|\r", "\\\\n")):
+    for a, b in (("\\\\", "\\\\\\\\"), (";", "\\\\;"), (",", "\\\\,"), ("\r\n|\n|\r", "\\\\n")):
         t = F.regexp_replace(t, a, b)
     return t
 

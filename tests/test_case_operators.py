@@ -252,7 +252,7 @@ def test_keyed_hash_and_logs(spark):
 def test_exports(spark, tmp_path):
     d = spark.createDataFrame([(1, "C;1", "a, b", "line\nnext " + "é" * 60, date(2024, 2, 28))], "id long, case_number string, label string, note string, due date")
     ics = exports.calendar_events(d).first().ics
-    assert "DTEND;VALUE=DATE:20240229" in ics and "SUMMARY:[C\;1] a\\, b" in ics and "DESCRIPTION:line\\nnext" in ics
+    assert "DTEND;VALUE=DATE:20240229" in ics and "SUMMARY:[C\\;1] a\\, b" in ics and "DESCRIPTION:line\\nnext" in ics
     assert all(len(x.encode()) <= 75 for x in ics.split("\r\n")) and ics.replace("\r\n ", "").count("é") == 60
     docs = spark.createDataFrame([("a@x.org b@x.org 9876543210",), ("A@x.org",)], "text string")
     one, two = ({(r.kind, r.value): r.label for r in exports.labels(docs, s).collect()} for s in (b"1", b"1"))
