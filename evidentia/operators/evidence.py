@@ -126,11 +126,8 @@ def features(actors: DataFrame, money: DataFrame, comm: DataFrame, places: DataF
     return out.select("actor", F.coalesce("role", F.lit("")).alias("role"), *[F.coalesce(c_, F.lit(0.0)).alias(c_) for c_ in names], *[F.coalesce(c_, F.lit(0)).cast("long").alias(c_) for c_ in obs])
 
 
-def scores(rows: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
-    """actor, role, logit, score, low, high, tier, status, rank. rows: features(). decisions: actor, decision (the latest).
-
-    Actors in a victim's, complainant's or witness's role are scored, but not ranked, and not part of the percentiles.
-    """
+def _scaled(rows: DataFrame) -> tuple[DataFrame, dict, dict]:
+    """rows with s_*, each feature between 0 and 1, and the families' sums, plain and held below their caps."""
     plain = ~F.col("role").isin(*EXCLUDED)
     count = rows.agg(F.count_if(plain).alias("_pop"))
     r = rows.crossJoin(F.broadcast(count)).withColumn("_alpha", 0.5 * F.least(F.lit(1.0), F.col("_pop") / 20.0))  # one row
@@ -148,6 +145,16 @@ def scores(rows: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
             r = r.drop("_v", "_p")
     total = {f: sum((F.lit(w) * F.col(f"s_{k}") for k, fam, w, *_ in FEATURES if fam == f), F.lit(0.0)) for f in FAMILY_CAP}
     held = {f: cap * F.tanh(total[f] / cap) for f, cap in FAMILY_CAP.items()}
+    return r, total, held
+
+
+def scores(rows: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
+    """actor, role, logit, score, low, high, tier, status, rank. rows: features(). decisions: actor, decision (the latest).
+
+    Actors in a victim's, complainant's or witness's role are scored, but not ranked, and not part of the percentiles.
+    """
+    plain = ~F.col("role").isin(*EXCLUDED)
+    r, total, held = _scaled(rows)
     other = sum((total[f] for f in FAMILY_CAP if f != "recency"), F.lit(0.0))
     prior = F.lit(0.0)
     for role, p in ROLE_PRIOR.items():
@@ -167,3 +174,93 @@ def scores(rows: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
     w = Window.partitionBy("plain").orderBy("layer", F.desc("logit"), "actor")
     r = r.withColumn("tier", tier).withColumn("layer", layer).withColumn("plain", ranked)
     return r.withColumn("rank", F.when(F.col("plain"), F.row_number().over(w))).select("actor", "role", F.round("logit", 3).alias("logit"), "score", "low", "high", F.round("sd", 2).alias("sd"), "tier", "status", "rank")
+
+
+# What each feature says, with its value.
+SENTENCES = {
+    "pagerank": "Stands in the middle of the recorded network, with %.1f times the influence of an average person.",
+    "betweenness": "Lies on shortest ways between others, as go-betweens do (share %.3f).",
+    "degree": "Has %.0f different associates in the records.",
+    "kcore": "Belongs to a group whose members all have at least %.0f links among each other.",
+    "bridging": "Links %.0f groups that are apart otherwise.",
+    "money_volume": "INR %,.0f went through the accounts.",
+    "money_fan": "Payments spread to, or come from, %.0f parties.",
+    "pass_through": "Of what came in, a share of %.2f left again within 48 hours.",
+    "money_to_accused": "%.0f payments with people linked to an accused.",
+    "comm_with_accused": "%.0f calls or messages with people linked to an accused.",
+    "comm_burst": "%.0f calls or messages within six hours.",
+    "comm_reach": "Calls or messages with %.0f different contacts.",
+    "meet_accused": "%.0f recorded meetings with people linked to an accused.",
+    "copresence": "Was at one place and time with %.0f different people.",
+    "fir_appearances": "Appears in %.0f separate reports.",
+    "cross_fir_identifiers": "%.0f identifiers recur in different reports.",
+    "alerts": "Alerts of a total weight of %.1f were raised.",
+    "recency": "Activity was recorded recently (%.2f, 1 is now).",
+}
+#: What a family without any record could change.
+MISSING = {"money": "No payments are recorded; they could change the priority.", "comm": "No calls or messages are recorded; they could change the priority.", "coloc": "No meetings or places are recorded; they could change the picture."}
+STATUS = {"confirmed": "An officer has confirmed this lead.", "dismissed": "An officer has dismissed this lead.", "needs_more_info": "An officer has asked for more information."}
+CLOSING = "This is a priority for looking first, not a finding; verify it against the records."
+
+
+def factors(rows: DataFrame) -> DataFrame:
+    """actor, feature, family, value, contribution, sentence: what each feature that counts adds to the logit.
+
+    A family above its cap is held, and its features shrink with it, so contributions add up to what the family adds (recency:
+    before it is tied to the others).
+    """
+    r, total, held = _scaled(rows)
+    shrink = {f: F.when(total[f] > 0, held[f] / total[f]).otherwise(0.0) for f in FAMILY_CAP}
+    each = [F.struct(F.lit(k).alias("feature"), F.lit(fam).alias("family"), F.col(k).alias("value"), (F.lit(w) * F.col(f"s_{k}") * shrink[fam]).alias("contribution"), F.format_string(SENTENCES[k], F.col(k)).alias("sentence")) for k, fam, w, *_ in FEATURES]
+    return r.select("actor", F.explode(F.array(*each)).alias("f")).select("actor", "f.*").where("contribution > 0")
+
+
+def summaries(rows: DataFrame, ranked: DataFrame, reasons: int = 3) -> DataFrame:
+    """actor, summary: rank, score and range, the strongest reasons, what is missing, and the officer's decision. ranked: scores()."""
+    w = Window.partitionBy("actor").orderBy(F.desc("contribution"), "feature")
+    top = factors(rows).where("contribution >= 0.05").withColumn("r", F.row_number().over(w)).where(F.col("r") <= reasons)
+    top = top.groupBy("actor").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "sentence"))), lambda x: x["sentence"]), " ").alias("why"))
+    gap = F.lit(None).cast("string")
+    for family, text in reversed(MISSING.items()):
+        gap = F.when(F.col(f"obs_{family}") == 0, text).otherwise(gap)
+    j = ranked.join(top, "actor", "left").join(rows.select("actor", gap.alias("gap")), "actor")
+    place = F.when(F.col("rank").isNotNull(), F.format_string("Ranked %d as a lead", F.col("rank"))).otherwise("Not ranked, by the role")
+    first = F.concat(place, F.format_string(": %d of 100 (%s; %d to %d given the records).", "score", "tier", "low", "high"))
+    state = F.lit(None).cast("string")
+    for status, text in STATUS.items():
+        state = F.when(F.col("status") == status, text).otherwise(state)
+    return j.select("actor", F.concat_ws(" ", first, F.coalesce("why", F.lit("No strong signal was found.")), "gap", state, F.lit(CLOSING)).alias("summary"))
+
+
+def closest(money: DataFrame, comm: DataFrame, most: int = 15) -> DataFrame:
+    """actor, other, n, rank: whom each actor dealt with most; a report of the first ones."""
+    e = money.select("a", "b").unionByName(comm.select("a", "b"))
+    n_ = e.select(F.col("a").alias("actor"), F.col("b").alias("other")).unionByName(e.select(F.col("b").alias("actor"), F.col("a").alias("other"))).groupBy("actor", "other").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("actor").orderBy(F.desc("n"), "other")
+    return n_.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
+def quality(scored: DataFrame, truth: DataFrame, score: str = "logit") -> DataFrame:
+    """auc, p_at_10, r_precision, recall_at_10 of a ranking. scored: actor, score. truth: actor. Equal scores share their ranks' mean."""
+    s = scored.select("actor", F.col(score).alias("x")).join(truth.select("actor", F.lit(1).alias("hit")).distinct(), "actor", "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+    by = s.groupBy("x").agg(F.sum("hit").alias("pos"), F.count("*").alias("n"))
+    below = F.coalesce(F.sum(F.col("n") - F.col("pos")).over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    area = by.select("pos", "n", (F.col("pos") * (below + (F.col("n") - F.col("pos")) / 2)).alias("won")).agg(F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum(F.col("n") - F.col("pos")).alias("neg"))
+    k = truth.distinct().count()
+    order = [F.desc("x"), "actor"]
+    top = s.orderBy(*order).limit(max(k, 10)).withColumn("r", F.row_number().over(Window.orderBy(*order)))
+    best = top.agg(F.sum(F.when(F.col("r") <= 10, F.col("hit"))).alias("ten"), F.sum(F.when(F.col("r") <= k, F.col("hit"))).alias("k"))
+    return area.crossJoin(best).select(  # one row each
+        F.try_divide("won", F.col("pos") * F.col("neg")).alias("auc"), (F.col("ten") / 10).alias("p_at_10"), F.try_divide(F.col("k"), F.lit(k)).alias("r_precision"), F.try_divide("ten", F.col("pos")).alias("recall_at_10"),
+    )
+
+
+def ablation(rows: DataFrame, truth: DataFrame) -> DataFrame:
+    """without, and quality(): of the whole model, then with one family of features left out. Roles are not used."""
+    plain = cut(rows.withColumn("role", F.lit("")))
+    out = None
+    for family in ("", *[f for f in FAMILY_CAP if f != "recency"]):
+        less = plain.withColumns({k: F.lit(0.0) for k, fam, *_ in FEATURES if fam == family} | {f"obs_{family}": F.lit(0).cast("long")}) if family else plain
+        q = quality(scores(less), truth).select(F.lit(family or "nothing").alias("without"), "*")
+        out = q if out is None else out.unionByName(q)
+    return out

@@ -91,3 +91,84 @@ def labels(docs: DataFrame, salt: bytes, text: str = "text") -> DataFrame:
     before = sizes.select("kind", "range", F.coalesce(F.sum("n").over(Window.partitionBy("kind").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     own = F.row_number().over(Window.partitionBy("kind", "range").orderBy("h"))
     return v.withColumn("own", own).join(F.broadcast(before), ["kind", "range"]).select("kind", "value", F.format_string("%s-%03d", "prefix", F.col("before") + F.col("own")).alias("label"))  # 256 ranges a kind
+
+
+def redacted(docs: DataFrame, salt: bytes, key: str = "doc_id", text: str = "text", mode: str = "pseudonymise") -> DataFrame:
+    """key, text, replaced: the text with each value of the redacted kinds exchanged for its label, or for its kind in mode 'mask'.
+
+    Labels are those of labels() with the same salt. A text's own values travel, never the text: a row meets the labels of the
+    values it holds. Longer values go first, so no value is cut by one within it. Null texts stay null. Keys are unique.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    named = lambda kind: lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("found"))
+    each = F.array_distinct(F.concat(*[F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(0)), named(kind)) for kind, p, _ in REDACTED]))
+    if mode == "mask":
+        plain = docs.select(key, F.col(text).alias("text"), F.transform(each, lambda x: F.struct(x["found"].alias("found"), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("label"))).alias("own"))
+    else:
+        values = docs.select(key, F.explode(each).alias("v")).select(key, "v.kind", "v.found", F.lower("v.found").alias("value"))
+        own = values.join(labels(docs, salt, text), ["kind", "value"]).groupBy(key).agg(F.collect_list(F.struct("found", "label")).alias("own"))
+        plain = docs.select(key, F.col(text).alias("text")).join(own, key, "left").withColumn("own", F.coalesce("own", F.array().cast("array<struct<found:string,label:string>>")))
+    order = F.transform(F.array_sort(F.transform(F.col("own"), lambda x: F.struct((-F.length(x["found"])).alias("n"), x["found"].alias("found"), x["label"].alias("label")))), lambda x: F.struct(x["found"].alias("found"), x["label"].alias("label")))
+    return plain.select(key, F.aggregate(order, F.col("text"), lambda acc, x: F.replace(acc, x["found"], x["label"])).alias("text"), F.size("own").alias("replaced"))
+
+
+def masked_text(c: Column) -> Column:
+    """The text with the kinds of what is redacted in place of the values."""
+    for kind, p, _ in REDACTED:
+        c = F.regexp_replace(c, p, f"[{kind.upper()}]")
+    return c
+
+
+def bundle(tables: dict[str, DataFrame], ids: dict[str, tuple[str, ...]], salt: bytes, keep: tuple[str, ...] = (), places: bool = False) -> dict[str, DataFrame]:
+    """Tables of a case for an export: every text column is masked, the id columns named in ids stay joinable.
+
+    An id that holds a redacted value becomes ID- and the start of its keyed hash, the same in all tables. Columns in keep are not
+    touched; latitude and longitude become null unless places. Arrays, maps and structs of texts are masked inside.
+    """
+    out = {}
+    for name, df in tables.items():
+        cols = []
+        for f in df.schema.fields:
+            c = F.col(f"`{f.name}`")
+            if f.name in ids.get(name, ()):
+                c = c.cast("string")
+                c = F.when(masked_text(c) != c, F.concat(F.lit("ID-"), F.left(keyed_hash(salt, c), F.lit(12)))).otherwise(c)
+            elif f.name.lower() in ("latitude", "longitude") and not places:
+                c = F.lit(None).cast(f.dataType)
+            elif f.name not in keep:
+                c = _deep(c, f.dataType)
+            cols.append(c.alias(f.name))
+        out[name] = df.select(*cols)
+    return out
+
+
+def _deep(c: Column, kind) -> Column:
+    name = kind.typeName()
+    if name == "string":
+        return masked_text(c)
+    if name == "array":
+        return F.transform(c, lambda x: _deep(x, kind.elementType))
+    if name == "map":
+        return F.transform_values(c, lambda _, v: _deep(v, kind.valueType))
+    if name == "struct":
+        return F.when(c.isNotNull(), F.struct(*[_deep(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return c
+
+
+def redaction_log(docs: DataFrame, text: str = "text") -> DataFrame:
+    """kind, replaced, different, documents: what an export's redaction touches."""
+    parts = None
+    for i, (kind, p, _) in enumerate(REDACTED):
+        before = F.coalesce(F.col(text), F.lit(""))
+        for k, q, _ in REDACTED[:i]:  # what an earlier kind has taken is no longer there
+            before = F.regexp_replace(before, q, f"[{k.upper()}]")
+        v = docs.select(F.xxhash64(*docs.columns).alias("row"), F.explode(F.regexp_extract_all(before, F.lit(p), F.lit(0))).alias("v")).select(F.lit(kind).alias("kind"), "row", F.lower("v").alias("v"))
+        parts = v if parts is None else parts.unionByName(v)
+    return parts.groupBy("kind").agg(F.count("*").alias("replaced"), F.count_distinct("v").alias("different"), F.count_distinct("row").alias("documents"))
+
+
+def evidence_sheet(posts: DataFrame, key: str = "uid", text: str = "text", recorded: str = "sha256") -> DataFrame:
+    """key, sha256, state of each post: 'unchanged' if its text still has the hash recorded at import, 'changed', or 'not recorded'."""
+    now = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    state = F.when(F.col(recorded).isNull(), "not recorded").when(now == F.lower(recorded), "unchanged").otherwise("changed")
+    return posts.select(key, now.alias("sha256"), state.alias("state"))

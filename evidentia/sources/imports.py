@@ -110,3 +110,51 @@ def commit_new(rows: DataFrame, known: DataFrame, key: str) -> tuple[DataFrame,
     nameless = rows.where(F.col(key).isNull() | (F.trim(key) == "")).withColumn("reason", F.lit("no number"))
     old = named.join(known.select(key), key, "left_semi").withColumn("reason", F.lit("known already"))
     return fresh, nameless.unionByName(old)
+
+
+# Labels of the lines that a register's row becomes, and the fields they are taken from.
+REPORT_LINES = (
+    ("District", "district"), ("Police Station", "police_station"), ("Year", "year"), ("FIR No", "fir_number"), ("Date of FIR", "fir_date"), ("Acts & Sections", "sections"),
+    ("Place of Occurrence", "place_of_occurrence"), ("Date of Occurrence", "occurrence_date"), ("Complainant / Informant:", ""), ("Name", "complainant"), ("Father's Name", "father_name"),
+    ("Address", "complainant_address"), ("Accused", "accused"), ("Phone", "phones"), ("Vehicle used", "vehicles"), ("Account", "accounts"), ("Email", "emails"),
+    ("Short Description of Incident", "description"), ("Investigating Officer", "investigating_officer"),
+)
+REPORT_HEAD = ("FIRST INFORMATION REPORT", "(structured-register import - awaiting human review)")
+CELL = 500
+
+
+def unique_headers(columns: list[str]) -> list[str]:
+    """Trimmed names; the second of equal ones is called 'name (2)', and so on; empty ones 'column'."""
+    seen: dict[str, int] = {}
+    out = []
+    for c in columns:
+        name = c.strip() or "column"
+        seen[name] = seen.get(name, 0) + 1
+        out.append(name if seen[name] == 1 else f"{name} ({seen[name]})")
+    return out
+
+
+def register_documents(rows: DataFrame, mapping: dict[str, str], known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A register's rows as report texts that await review: number, text, sha256, fields (JSON); and number, reason of those left out.
+
+    mapping: field -> column of rows; fir_number must be mapped. known: sha256 of texts that are there already. Rows of blanks
+    are nothing. Of equal texts one is new, the others are known.
+    """
+    if "fir_number" not in mapping:
+        raise ValueError("a column must be mapped to fir_number")
+    cell = lambda c: F.left(F.trim(F.regexp_replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), r"\s+", " ")), F.lit(CELL))
+    v = rows.select(*[cell(c).alias(f) for f, c in mapping.items()])
+    v = v.where(F.concat(*[F.col(f) for f in mapping]) != "")
+    person = [F.col(f) for f in ("complainant", "father_name", "complainant_address") if f in mapping]
+    some = F.concat(*person) != "" if person else F.lit(False)
+    line = lambda label, f: F.when(F.col(f) != "", F.concat(F.lit(f"{label}: "), F.col(f)))
+    lines = [F.when(some, label) if not f else line(label, f) for label, f in REPORT_LINES if not f or f in mapping]
+    text = F.concat(F.concat_ws("\n", *[F.lit(h) for h in REPORT_HEAD], *lines), F.lit("\n"))
+    fields = F.to_json(F.struct(*[F.when(F.col(f) != "", F.col(f)).alias(f) for f in mapping]))
+    d = v.select(F.col("fir_number").alias("number"), text.alias("text"), fields.alias("fields")).withColumn("sha256", F.sha2("text", 256))
+    named = d.where("number <> ''")
+    copies = named.groupBy("sha256").agg(F.count("*").alias("n"), F.first("number").alias("number"), F.first("text").alias("text"), F.min("fields").alias("fields"))
+    copies = copies.join(known.select("sha256", F.lit(True).alias("old")).distinct(), "sha256", "left")
+    extra = F.col("n") - F.when(F.col("old"), 0).otherwise(1)
+    again = copies.where(extra > 0).select("number", F.explode(F.array_repeat(F.lit("known already"), extra.cast("int"))).alias("reason"))
+    return copies.where("old IS NULL").select("number", "text", "sha256", "fields"), d.where("number = ''").select("number", F.lit("no number").alias("reason")).unionByName(again)
