@@ -7,16 +7,14 @@ from pyspark.sql import functions as F
 
 from evidentia.llm import common, language, neardup, packing, secrets, toxicity
 
-#: A text whose best language is less likely than this is in none of the known ones.
-LEAST_LANGUAGE = 0.3
-
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a recognised language: no letter, or no language likely. Learns from the documents' labels."""
-    model = language.fit(docs)
-    guess = language.predictor(spark, model)(F.col("text"))
-    keep = (guess["lang"] != language.UNKNOWN) & (guess["score"] >= LEAST_LANGUAGE) if model else F.lit(False)
-    return docs.where(keep)
+    """Drops documents without a recognised language: no letter, or letters in no known language.
+
+    Learns from the documents' labels, and what no language is from the same texts with their bytes in random order.
+    """
+    model = language.fit(docs, reject=True)
+    return docs.where(~language.rejected(F.col("text"), language.predictor(spark, model)(F.col("text")))) if model else docs.limit(0)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -137,15 +137,41 @@ def sample_windows(labelled: DataFrame, text: str, lang: str, key: Column, per_c
     return picked.mapInArrow(take, "window binary, lang string").collect()
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_class: int = 400, per_text: int = 6) -> ByteCnn | None:
-    """Train on about per_class texts of each language, per_text windows of each: a bounded sample, gathered on the driver."""
+def junk(rows: np.ndarray, count: int, seed: int = 11) -> np.ndarray:
+    """Windows in no language: bytes of given windows in random order, and random letters, half of each.
+
+    Windows of fewer than 32 bytes are not used: a few bytes in another order may well be a word.
+    """
+    rng = np.random.default_rng(seed)
+    full = rows[(rows != 0).sum(axis=1) >= 32]
+    out = full[rng.integers(0, len(full), count)] if len(full) else np.zeros((0, WINDOW), np.uint8)
+    size = (out != 0).sum(axis=1)
+    place = np.where(np.arange(WINDOW)[None] < size[:, None], rng.random(out.shape), 2)
+    out = np.take_along_axis(out, place.argsort(axis=1), axis=1)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    half = len(out) // 2
+    out[:half] = np.where(out[:half] != 0, letters[rng.integers(0, len(letters), out[:half].shape)], 0)
+    return out
+
+
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_class: int = 400, per_text: int = 6, reject: bool = False) -> ByteCnn | None:
+    """Train on about per_class texts of each language, per_text windows of each: a bounded sample, gathered on the driver.
+
+    With reject, `und` is a class of its own, learned from as many windows of junk() as a language has, so a text of letters in no
+    language is rejected however few languages there are.
+    """
     usable = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     got = sorted(sample_windows(usable, text, lang, F.col(key), per_class, per_text), key=lambda r: (bytes(r[0]), r[1]))
     classes = sorted({r[1] for r in got})
     if not classes:
         return None
     rows = np.frombuffer(b"".join(bytes(r[0]) for r in got), np.uint8).reshape(-1, WINDOW)
-    return train(rows, np.array([classes.index(r[1]) for r in got]), classes)
+    target = np.array([classes.index(r[1]) for r in got])
+    if reject:
+        none = junk(rows, len(rows) // len(classes))
+        classes = classes if UNKNOWN in classes else [*classes, UNKNOWN]
+        rows, target = np.concatenate([rows, none]), np.concatenate([target, np.full(len(none), classes.index(UNKNOWN))])
+    return train(rows, target, classes)
 
 
 def predictor(spark, model: ByteCnn | None):
@@ -181,6 +207,14 @@ def predictor(spark, model: ByteCnn | None):
     return column
 
 
+def rejected(text: Column, guess: Column) -> Column:
+    """Whether a text is in no known language, by a predictor whose model has `und` as a class: it has no letter, or `und` is likeliest.
+
+    A text of less than one window is rejected for want of letters only: one number or name in it may outweigh its words.
+    """
+    return ~F.coalesce(text.rlike(r"\p{L}"), F.lit(False)) | ((guess["lang"] == UNKNOWN) & (F.octet_length(text) >= WINDOW))
+
+
 def op1_language(spark, docs: DataFrame) -> DataFrame:
     """Contract columns of op1 for every row of docs. A row without id is held out."""
     held_out = F.coalesce(id_crc() % 4 == 2, F.lit(True))

@@ -148,3 +148,20 @@ def test_a_repeated_id_neither_fills_nor_empties_the_sample(spark):
     got = common.bounded_sample(d, "lang", F.xxhash64("doc_id", "text"), 50).collect()
     x = [r for r in got if r.lang == "x"]
     assert 20 <= len(x) <= 90 and len({(r.doc_id, r.text) for r in x}) == len(x) and sum(r.lang == "y" for r in got) == 30
+
+
+def test_language_stage_rejects_what_is_no_language(spark, data):
+    """Shuffled texts and texts of a language that was not learned go, learned ones stay, however few languages there are."""
+    import random
+
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("octet_length(text) >= 300")
+    some = random.Random(3)
+    junk = [(-1 - i, "".join(some.sample(r.text, len(r.text)))) for i, r in enumerate(docs.select("text").limit(100).collect())]
+    kept = docs.withColumn("lang", F.when(F.col("lang") != "es", F.col("lang"))).unionByName(spark.createDataFrame(junk, "doc_id long, text string"), allowMissingColumns=True)
+    got = {r.doc_id for r in corpus_pipeline.language_stage(spark, kept, data).select("doc_id").collect()}
+    known = {r.doc_id for r in docs.where("lang <> 'es'").select("doc_id").collect()}
+    other = {r.doc_id for r in docs.where("lang = 'es'").select("doc_id").collect()}
+    assert not [d for d in got if d < 0]
+    assert len(known & got) >= 0.995 * len(known) and len(other & got) <= 0.1 * len(other)
