@@ -3,6 +3,7 @@
 import hashlib
 import hmac
 import math
+import time
 from collections import deque
 from datetime import date
 from difflib import SequenceMatcher
@@ -270,3 +271,23 @@ def test_stays_and_places(spark):
     assert [r.precision for r in p.orderBy("seq").collect()] == ["recorded"] * 4 + ["approximate"]
     got = [(r.place, r.visits, r.points, r.dwell_s) for r in movement.stays(p).orderBy("place").collect()]
     assert got == [(1, 2, 3, 600), (2, 2, 2, 0)]
+
+
+def test_closeness_and_cores_of_many_nodes():
+    """Two stars of stars and a pair; walking from every node in turn takes minutes."""
+    k, edges = 120, [("x", "y")]
+    for s in "ab":
+        edges += [(f"{s}{i}", s) for i in range(k)] + [(f"{s}{i}-{j}", f"{s}{i}") for i in range(k) for j in range(k)]
+    g, began = casegraph.Csr(*zip(*edges, strict=True)), time.process_time()
+    got, cores = dict(zip(g.names, casegraph.closeness(g), strict=True)), casegraph.core_numbers(g)
+    assert time.process_time() - began < 5
+    n, size = k + k * k, g.n
+    assert size > 29000 and math.isclose(got["a"], n / (k + 2 * k * k) * n / (size - 1)) and math.isclose(got["x"], 1 / (size - 1))
+    far = 1 + k + 2 * (k - 1) + 3 * (k - 1) * k
+    assert math.isclose(got["b7"], n / far * n / (size - 1)) and math.isclose(got["b7-3"], n / (far + n - 1) * n / (size - 1))
+    assert (cores == 1).all()
+
+
+def test_measures_asked_for(spark):
+    got = casegraph.centralities(frame(spark, STAR), ("core", "cut_vertex"))
+    assert got.columns == ["case", "node", "core", "cut_vertex"] and {r.node for r in got.collect() if r.cut_vertex} == {"H", "L4"}
