@@ -291,3 +291,23 @@ def test_closeness_and_cores_of_many_nodes():
 def test_measures_asked_for(spark):
     got = casegraph.centralities(frame(spark, STAR), ("core", "cut_vertex"))
     assert got.columns == ["case", "node", "core", "cut_vertex"] and {r.node for r in got.collect() if r.cut_vertex} == {"H", "L4"}
+
+
+def test_counts_of_records_build_no_network(spark, data, monkeypatch):
+    from evidentia.plans import scores
+
+    def never(*_):
+        raise AssertionError("the network was built")
+
+    monkeypatch.setattr(casegraph, "centralities", never)
+    monkeypatch.setattr(evidence, "copresence", never)
+    assert scores.evidence_counts(spark, data).count() > 0
+
+
+def test_network_features_ask_for_four_measures(spark, data, monkeypatch):
+    from evidentia.plans import scores
+
+    asked, whole = [], casegraph.centralities
+    monkeypatch.setattr(casegraph, "centralities", lambda e, only=(): asked.append(set(only)) or whole(e))
+    scores.evidence_features(spark, data)
+    assert asked == [{"pagerank", "betweenness", "core", "community"}]
