@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -198,3 +199,16 @@ def test_world_and_reasons(spark):
     pairs = [(s[x] > s[y]) + 0.5 * (s[x] == s[y]) for x in ring for y in s if y not in ring]
     best = sorted(s, key=lambda x: (-s[x], x))
     assert q.auc == pytest.approx(sum(pairs) / len(pairs)) and q.p_at_10 == len(ring & set(best[:10])) / 10 and q.r_precision == len(ring & set(best[:4])) / 4
+
+
+def test_link_features_of_many_nodes():
+    """A ring of 30000 nodes; a matrix of all pairs would take 3.6 GB."""
+    n = 30000
+    case = linkmodel.Case(pd.DataFrame([("c", "edge", f"n{i:05}", f"n{(i + 1) % n:05}", None) for i in range(n)], columns=COLUMNS))
+    began = time.process_time()
+    view = linkmodel.View(case, case.edges)
+    x = view.features(np.array([(0, 1), (0, 2), (0, 3), (0, 4), (0, 5)]))
+    assert [*x[:, 5]] == [1, 1 / 2, 1 / 3, 1 / 4, 0] and [*x[:, 0]] == [0, 1, 0, 0, 0]
+    some = np.vstack(list(linkmodel.candidates(view, 1000)))
+    assert len(some) == n and some[0].tolist() == [0, 2] and (np.lexsort((some[:, 1], some[:, 0])) == np.arange(n)).all()
+    assert time.process_time() - began < 30
