@@ -2,51 +2,136 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions import normal as n
+from .graph import cut
 
 # Weights of the parts, the least score of an equal identifier, the threshold, and the bands.
 COSINE, LEXICAL, PARTIAL, EXACT, EXACT_LEAST, THRESHOLD, MEDIUM, HIGH = 0.52, 0.28, 0.14, 0.06, 0.93, 0.60, 0.70, 0.85
+#: Most n-grams, and most cells of the queries' matrix, that go to all tasks; beyond them n-grams are joined. Records of one task.
+BROADCAST, CELLS, TASK = 1 << 18, 1 << 22, 8192
+
+
+def grams(text: str | None) -> Counter:
+    """Runs of 2 to 5 characters within words that are padded with a blank on both sides."""
+    return Counter([p[i : i + k] for p in [f" {w} " for w in (text or "").split(" ") if w] for k in range(2, 6) for i in range(len(p) - k + 1)])
+
+
+def spread(texts: DataFrame) -> DataFrame:
+    """id, gram, n of id, text."""
 
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                found = [grams(t) for t in part.column(1).to_pylist()]
+                at = np.repeat(np.arange(len(found)), [len(c) for c in found])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array([g for c in found for g in c], pa.string()), pa.array([x for c in found for x in c.values()], pa.int64())], ["id", "gram", "n"])
 
-def grams(text: Column, least: int = 2, most: int = 5) -> Column:
-    """Runs of characters within words that are padded with a blank on both sides; a word shorter than a run gives itself once."""
-    words = F.filter(F.split(text, " "), lambda w: w != "")
+    return texts.mapInArrow(run, StructType([texts.schema["id"], StructField("gram", StringType()), StructField("n", LongType())]))
 
-    def of(w: Column, k: int) -> Column:
-        p = F.concat(F.lit(" "), w, F.lit(" "))
-        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - k + 1, F.lit(1))), lambda i: F.substr(p, i, F.lit(k)))
-        return F.when(F.length(p) >= k, runs).otherwise(F.array().cast("array<string>"))
 
-    return F.flatten(F.transform(words, lambda w: F.concat(*[of(w, k) for k in range(least, most + 1)])))
+def frequencies(texts: DataFrame) -> DataFrame:
+    """gram, df: in how many texts; counted by batch first."""
 
+    def run(batches):
+        for batch in batches:
+            c = Counter()
+            for t in batch.column(0).to_pylist():
+                c.update(grams(t).keys())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["gram", "n"])
 
-def weights(texts: DataFrame, idf: DataFrame) -> DataFrame:
-    """id, gram, w: logarithmic counts times idf, each text's vector of length one."""
-    tf = texts.select("id", F.explode(grams(F.col("text"))).alias("gram")).groupBy("id", "gram").agg((1 + F.log(F.count("*"))).alias("tf"))
-    raw = tf.join(idf, "gram").select("id", "gram", (F.col("tf") * F.col("idf")).alias("w"))
-    size = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    return raw.join(size, "id").select("id", "gram", (F.col("w") / F.col("size")).alias("w"))
+    return texts.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("df"))
+
+
+def beside(small: DataFrame, rows: int) -> DataFrame:
+    """One side of a join, sent to all tasks up to a bound; beyond it both sides are shuffled.
+
+    Spark's own estimate doesn't see that exploding makes rows, so it is never left the choice.
+    """
+    return F.broadcast(small) if rows <= BROADCAST else small.hint("merge")
+
+
+def raw_weights(texts: DataFrame, idf: DataFrame, rows: int) -> DataFrame:
+    """id, gram, w: logarithmic counts times idf, which has so many rows."""
+    tf = spread(texts).groupBy("id", "gram").agg((1 + F.log(F.sum("n"))).alias("tf"))
+    return tf.join(beside(idf, rows), "gram").select("id", "gram", (F.col("tf") * F.col("idf")).alias("w"))
+
+
+def lengths(raw: DataFrame) -> DataFrame:
+    return raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+
+
+def by_joins(docs: DataFrame, idf: DataFrame, known: int, v: DataFrame) -> DataFrame:
+    """query, id, near, cosine of all pairs with a common n-gram."""
+    w = raw_weights(docs, idf, known)
+    dot = w.join(beside(v, v.count()), "gram").groupBy("query", "id").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
+    return dot.join(lengths(w).hint("merge"), "id").select("query", "id", (F.col("dot") / F.col("size")).alias("cosine")).select("query", "id", F.round("cosine", 12).alias("near"), "cosine")
+
+
+def by_matrix(docs: DataFrame, idf: pa.Table, asked: DataFrame, k: int) -> DataFrame:
+    """The same with each batch's k nearest of each query; the queries' vectors and all idf are held in every task."""
+    v = asked.toArrow()
+    names, col = np.unique(np.array(v["query"].to_pylist(), object), return_inverse=True)
+    words, row = np.unique(np.array(v["gram"].to_pylist(), object), return_inverse=True)
+    m = np.zeros((len(words), len(names)))
+    m[row, col] = v["v"].to_numpy()
+    held = docs.sparkSession.sparkContext.broadcast((dict(zip(idf["gram"].to_pylist(), idf["idf"].to_pylist(), strict=True)), {w: i for i, w in enumerate(words)}, m, names))
+    ident, who, kind = docs.schema["id"], asked.schema["query"], v["query"].type
+
+    def run(batches):
+        weight, at, m, names = held.value
+        step = max(1, (1 << 22) // (64 * len(names)))
+        for batch in (b.slice(lo, step) for b in batches for lo in range(0, b.num_rows, step)):
+            ids, cosine = batch.column(0).to_pylist(), np.zeros((batch.num_rows, len(names)))
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                w = {g: (1 + math.log(c)) * weight[g] for g, c in grams(t).items()}
+                if some := [(at[g], x) for g, x in w.items() if g in at]:
+                    j, x = zip(*some, strict=True)
+                    cosine[i] = np.array(x) @ m[list(j)] / math.sqrt(sum(y * y for y in w.values()))
+            near, query, found = cosine.round(12), [], []
+            for q in range(len(names)):
+                have = np.flatnonzero(cosine[:, q] > 0)
+                if len(have) > k:
+                    least = np.partition(near[have, q], -k)[-k]
+                    have = sorted(have[near[have, q] >= least].tolist(), key=lambda i, q=q: (-near[i, q], ids[i]))[:k]
+                query += [q] * len(have)
+                found += list(have)
+            query, found = np.array(query, int), np.array(found, int)
+            yield pa.RecordBatch.from_arrays([pa.array(names[query].tolist(), kind), batch.column(0).take(pa.array(found)), pa.array(near[found, query]), pa.array(cosine[found, query])], ["query", "id", "near", "cosine"])
+
+    return docs.mapInArrow(run, StructType([who, ident, StructField("near", DoubleType()), StructField("cosine", DoubleType())]))
 
 
 def candidates(queries: DataFrame, records: DataFrame, k: int = 8, threshold: float = THRESHOLD) -> DataFrame:
     """query, id, score, cosine, lexical, identifier, band, rank. queries: query, value. records: id, name, identifiers (array).
 
-    Cosines come from an equality join of n-grams; the k nearest of each query are scored by spelling and identifiers.
+    Cosines are of n-grams; the k nearest of each query are scored by spelling and identifiers. Up to a bound the weights of n-grams
+    and the queries' vectors go to all tasks, which keep their nearest; beyond it they are joined by n-gram.
     """
     text = n.spaced(F.concat_ws(" | ", F.col("name"), F.array_join("identifiers", " | ")))
-    docs = records.select("id", text.alias("text"))
-    df = docs.select("id", F.explode(F.array_distinct(grams(F.col("text")))).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(docs.agg(F.count("*").alias("n")))).select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
+    rows = records.select("id", text.alias("text")).repartition(max(1, -(-records.count() // TASK)), "id")
+    docs = rows.where("id IS NOT NULL").groupBy("id").agg(F.concat_ws(" ", F.collect_list("text")).alias("text"))
+    total = records.agg(F.count("*").alias("n"))
+    idf = cut(frequencies(rows).crossJoin(F.broadcast(total)).select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))  # one row
+    known = idf.count()
     asked = queries.select(F.col("query").alias("id"), n.spaced(F.col("value")).alias("text"))
-    dot = weights(asked, idf).select(F.col("id").alias("query"), "gram", F.col("w").alias("v")).join(weights(docs, idf), "gram").groupBy("query", "id").agg(F.sum(F.col("v") * F.col("w")).alias("cosine"))
-    near = Window.partitionBy("query").orderBy(F.desc(F.round("cosine", 12)), "id")
-    top = dot.withColumn("n", F.row_number().over(near)).where(F.col("n") <= k).drop("n")
-    j = top.join(queries.select("query", "value"), "query").join(records.select("id", "name", "identifiers"), "id")
+    v = raw_weights(asked, idf, known)
+    v = cut(v.join(lengths(v).hint("merge"), "id").select(F.col("id").alias("query"), "gram", (F.col("w") / F.col("size")).alias("v")))
+    size = v.agg(F.countDistinct("query"), F.countDistinct("gram")).first()
+    fits = known <= BROADCAST and size[0] * size[1] <= CELLS
+    cosine = by_matrix(docs, idf.toArrow(), v, k) if fits and size[0] else by_joins(docs, idf, known, v)
+    near = Window.partitionBy("query").orderBy(F.desc("near"), "id")
+    top = cut(cosine.withColumn("n", F.row_number().over(near)).where(F.col("n") <= k).drop("n", "near"))
+    j = records.select("id", "name", "identifiers").join(beside(top.join(queries.select("query", "value").hint("merge"), "query"), top.count()), "id")
     whole = n.compact(F.col("value"))
     each = j.select("query", "id", "value", "cosine", n.similarity(n.spaced(F.col("value")), n.spaced(F.col("name"))).alias("lexical"), F.exists("identifiers", lambda x: (whole != "") & (n.compact(x) == whole)).cast("int").alias("exact"), F.explode_outer("identifiers").alias("identifier"))
     part = each.withColumn("partial", F.when(F.col("identifier").isNull(), 0.0).otherwise(n.similarity(n.spaced(F.coalesce("value", F.lit(""))), n.spaced(F.coalesce("identifier", F.lit(""))))))

@@ -311,3 +311,29 @@ def test_network_features_ask_for_four_measures(spark, data, monkeypatch):
     monkeypatch.setattr(casegraph, "centralities", lambda e, only=(): asked.append(set(only)) or whole(e))
     scores.evidence_features(spark, data)
     assert asked == [{"pagerank", "betweenness", "core", "community"}]
+
+
+def test_resolution_sends_no_exploded_rows_to_all_tasks(spark, monkeypatch):
+    """Spark estimates that the n-grams of all records are as small as the records, and would broadcast them."""
+    records = spark.range(3000).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("steel ring "), F.col("id") % 7).alias("name"), F.array(F.concat(F.lit("P"), "id")).alias("identifiers"))
+    asked = spark.createDataFrame([("ring 3", "ring 3"), ("P12", "P12"), ("none", "...")], "query string, value string")
+    got = resolution.candidates(asked, records)
+    rows = sorted(map(tuple, got.collect()))
+    assert {r[1] for r in rows if r[0] == "P12"} == {"12"}
+
+    sent = []
+
+    def walk(plan):
+        if "BroadcastExchange" in plan.nodeName():
+            sent.append(plan.metrics().apply("numOutputRows").value())
+        if "Adaptive" in plan.nodeName():
+            walk(plan.executedPlan())
+        elif "QueryStage" in plan.nodeName():
+            walk(plan.plan())
+        for i in range(plan.children().size()):
+            walk(plan.children().apply(i))
+
+    walk(got._jdf.queryExecution().executedPlan())
+    assert max(sent, default=0) <= 100
+    monkeypatch.setattr(resolution, "BROADCAST", 0)
+    assert sorted(map(tuple, resolution.candidates(asked, records).collect())) == rows
