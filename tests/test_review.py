@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from evidentia.documents import glossary
 from evidentia.functions import flag_rules, translit
 from evidentia.operators import evidence, flags, linkmodel, workflow
+from evidentia.plans import review
 from evidentia.plans.review import world_rows
 from evidentia.sources import exports, imports, worlds
 
@@ -212,3 +213,15 @@ def test_link_features_of_many_nodes():
     some = np.vstack(list(linkmodel.candidates(view, 1000)))
     assert len(some) == n and some[0].tolist() == [0, 2] and (np.lexsort((some[:, 1], some[:, 0])) == np.arange(n)).all()
     assert time.process_time() - began < 30
+
+
+def test_evaluation_reads_no_relations(spark, data, monkeypatch):
+    """Only suggestions name relations; the evaluation equals that of all rows and joins no relationships for them."""
+    rows = review.case_rows(spark, data)
+    want = sorted(map(str, linkmodel.evaluation(rows).collect()))
+
+    def none(*_):
+        raise AssertionError("relations are read")
+
+    monkeypatch.setattr(review, "relationships", none)
+    assert sorted(map(str, review.link_model_evaluation(spark, data).collect())) == want
