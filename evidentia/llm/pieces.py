@@ -2,7 +2,8 @@
 
 Each batch's texts are normalised and cut into marked words. The distinct words that the worker has not met yet are sorted,
 which makes them a trie in depth-first order: from one word to the next, the forward states of the common prefix stay and
-only the rest is computed. A state is the last piece of the best segmentation of the prefix.
+only the rest is computed. A state is the last piece of the best segmentation of the prefix. An automaton over the pieces tells
+which of them end at a character.
 
 The given model segments by merges. There the best path is the only one whose neighbours are compatible: two pieces are, if
 merging their joined text gives just these two. So a state needs one look at each piece that ends there, as in a Viterbi
@@ -11,12 +12,13 @@ whose pieces tie in score, are merged directly.
 
 Null texts have null ids; empty texts have none. Characters outside the vocabulary become byte pieces. Decoding returns the
 text unless normalisation changed it. A word's cost is linear in its length, that of a run of marks n log n; the cache of
-words is bounded (CACHE). Ties in score go to the leftmost pair. Repeated rows each get their ids; an empty table gives no
+words is bounded (CACHE) and outlasts a task. Ties in score go to the leftmost pair. Repeated rows each get their ids; an empty table gives no
 rows; very long texts are whole words like others; other columns of the input may have any names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 from array import array
@@ -52,14 +54,33 @@ class Pieces:
         self.piece = sorted(self.id, key=lambda p: (len(p) > 1, -self.score[self.id[p]], self.id[p]))
         self.rank = {p: r for r, p in enumerate(self.piece)}
         self.code = [self.id[p] for p in self.piece]
-        #: How long a piece can be that ends in these two characters.
-        self.reach: dict[str, int] = {}
-        for p in self.piece:
-            if len(p) > 1:
-                self.reach[p[-2:]] = max(self.reach.get(p[-2:], 1), len(p))
+        self.root = self.automaton()
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}  # by the first piece times their number, and the second
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # words of the cache's last filling
+        #: Whether all pieces, bytes included, read as what they stand for.
+        self.faithful = all(self.raw[k] == p.replace(MARK, " ").encode() for p, k in self.id.items()) and all(self.raw[k] == bytes([b]) for b, k in enumerate(self.byte))
+
+    def automaton(self) -> list:
+        """Nodes: children by character, the node of the longest proper suffix, rank and length of the pieces that end here, longest first."""
+        root: list = [{}, None, ()]
+        for r, p in enumerate(self.piece):
+            node = root
+            for c in p:
+                node = node[0].setdefault(c, [{}, root, ()])
+            node[2] = ((r, len(p)),)
+        level = list(root[0].values())
+        while level:
+            for node in level:
+                node[2] += node[1][2]
+                for c, child in node[0].items():
+                    back = node[1]
+                    while back is not root and c not in back[0]:
+                        back = back[1]
+                    child[1] = back[0].get(c, root)
+            level = [child for node in level for child in node[0].values()]
+        return root
 
     def merged(self, word: str) -> tuple[list[str], tuple[str, str]]:
         """Pieces by merging: best score first, then leftmost. Also the two sides of the last merge. A heap holds the pairs."""
@@ -101,7 +122,7 @@ class Pieces:
 
         Undoing the later of the two merges, again and again, gives the pieces that stood at the border at each time.
         """
-        fit = self.fits.get((a, b))
+        fit = self.fits.get(a * len(self.piece) + b)
         if fit is not None:
             return fit
         x, y, before = a, b, len(self.piece)
@@ -122,7 +143,7 @@ class Pieces:
             x, y = (sides[1], y) if undo_left else (x, sides[0])
         if len(self.fits) > CACHE:
             self.fits.clear()
-        self.fits[a, b] = fit
+        self.fits[a * len(self.piece) + b] = fit
         return fit
 
     def ids_of(self, parts: list[str]) -> bytes:
@@ -134,35 +155,40 @@ class Pieces:
 
     def learn(self, words: set[str]) -> None:
         """Segment the words, in sorted order, and keep the results."""
-        if len(self.cache) + len(words) > CACHE:
-            self.cache.clear()
-        rank, fits, compatible, reach, code, sides = self.rank, self.fits, self.compatible, self.reach, self.code, self.sides
-        last, states, starts = "", [-1], [0]  # states[i]: rank of the last piece of the first i characters; -1: none or unknown
+        fits, compatible, code, sides, root, cache = self.fits, self.compatible, self.code, self.sides, self.root, self.cache
+        size = len(self.piece)
+        # states[i]: rank of the last piece of the first i characters; -1: none or unknown. nodes[i]: of the automaton, after them.
+        last, states, starts, nodes = "", [-1], [0], [root]
         for word in sorted(words):
             if word.startswith(MARK * 2):
-                self.cache[word] = self.ids_of(self.merged(word)[0])
+                cache[word] = self.ids_of(self.merged(word)[0])
                 continue
             same = 0
             for x, y in zip(last, word):  # noqa: B905
                 if x != y:
                     break
                 same += 1
-            del states[same + 1 :], starts[same + 1 :]
-            for end in range(same + 1, len(word) + 1):
-                for start in range(max(0, end - reach.get(word[end - 2 : end], 1)), end):
-                    r = rank.get(word[start:end])
-                    if r is None:
-                        continue
-                    before = states[start]
+            del states[same + 1 :], starts[same + 1 :], nodes[same + 1 :]
+            node, end = nodes[same], same
+            for c in word[same:]:
+                end += 1
+                to = node[0].get(c)
+                while to is None:
+                    node = node[1]
+                    to = root if node is None else node[0].get(c)
+                node = to
+                nodes.append(node)
+                for r, long in node[2]:
+                    before = states[end - long]
                     if before < 0:
                         fit = sides(r) is not None
                     else:
-                        fit = fits.get((before, r))
+                        fit = fits.get(before * size + r)
                         if fit is None:
                             fit = sides(r) is not None and compatible(before, r)
                     if fit:
                         states.append(r)
-                        starts.append(start)
+                        starts.append(end - long)
                         break
                 else:
                     states.append(-1)
@@ -176,34 +202,54 @@ class Pieces:
                     out.append(code[r])
                 end = starts[end]
             out.reverse()
-            self.cache[word] = array("i", out).tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """32-bit ids of each text; none for null."""
+            cache[word] = array("i", out).tobytes()
+
+    def meet(self, words: set[str]) -> None:
+        """Have all these words in the cache. A full one becomes the older one, from which words that come again are taken back."""
+        fresh = words - self.cache.keys()
+        if len(self.cache) + len(fresh) > CACHE // 2:
+            self.older, self.cache, fresh = self.cache, {}, words
+        again = fresh & self.older.keys()
+        self.cache.update((w, self.older[w]) for w in again)
+        self.learn(fresh - again)
+
+    def read(self, texts: list[str | None]) -> tuple[list[bytes], list[bool]]:
+        """32-bit ids of each text, none for null, and whether decoding them gives the text again (true for null).
+
+        Pieces and bytes stand one after the other for all of the normal form. If each reads as what it stands for, decoding gives
+        that form with spaces for marks, so it need not be done.
+        """
         normal = ["" if t is None else self.sp.normalize(t) for t in texts]
         words = [_WORD.findall(t) if self.words_apart or not t else [t] for t in normal]
-        every = set().union(*words)
-        fresh = every - self.cache.keys()
-        if fresh:
-            self.learn(fresh if len(self.cache) + len(fresh) <= CACHE else every)
+        self.meet(set().union(*words))
         get = self.cache.__getitem__
-        return [b"".join(map(get, row)) for row in words]
+        ids = [b"".join(map(get, row)) for row in words]
+        back = [n.replace(MARK, " ").removeprefix(" ") for n in normal] if self.faithful else [self.decode(np.frombuffer(x, np.int32).tolist()) for x in ids]
+        return ids, [t is None or t == b for t, b in zip(texts, back, strict=True)]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        return self.read(texts)[0]
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text.removeprefix(" ")
 
 
-def _reader(spark, model: str):
-    shared = spark.sparkContext.broadcast(Path(model).read_bytes())  # a model file, of fixed size
-    ready: list[Pieces] = []
+#: The model that this worker has used last, by digest, with the words it has met: the next task goes on with it.
+_READY: dict[str, Pieces] = {}
+
 
-    def pieces() -> Pieces:
-        if not ready:
-            ready.append(Pieces(shared.value))
-        return ready[0]
+def _ready(digest: str, model) -> Pieces:
+    if digest not in _READY:
+        _READY.clear()
+        _READY[digest] = Pieces(model.value)
+    return _READY[digest]
 
-    return pieces
+
+def _reader(spark, model: str):
+    data = Path(model).read_bytes()
+    shared, digest = spark.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()  # a model file, of fixed size
+    return lambda: _ready(digest, shared)
 
 
 def encoder(spark, model: str = MODEL):
@@ -214,10 +260,9 @@ def encoder(spark, model: str = MODEL):
     def encode(texts: pa.Array) -> pa.Array:
         p, ids, same = pieces(), [], []
         for at in range(0, len(texts), 1024):
-            some = texts.slice(at, 1024).to_pylist()
-            got = p.encode(some)
+            got, back = p.read(texts.slice(at, 1024).to_pylist())
             ids += got
-            same += [t is None or p.decode(np.frombuffer(x, np.int32).tolist()) == t for t, x in zip(some, got, strict=True)]
+            same += back
         off = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
         flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
         lists = pa.ListArray.from_arrays(pa.array(off), flat, mask=texts.is_null() if texts.null_count else None)

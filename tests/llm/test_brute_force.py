@@ -106,6 +106,27 @@ def test_long_runs_of_marks_equal_the_model():
         assert np.frombuffer(p.encode([t])[0], np.int32).tolist() == sp.encode(t)
 
 
+def test_pieces_learn_each_word_once_and_tell_the_round_trip(spark, monkeypatch):
+    """Frequent words outlast a full cache, the next task goes on with the worker's model, the round trip is that of decoding."""
+    import sentencepiece
+    from pathlib import Path
+
+    data = Path(pieces.MODEL).read_bytes()
+    p, sp = pieces.Pieces(data), sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    learned, learn = [], p.learn
+    monkeypatch.setattr(p, "learn", lambda words: (learned.extend(words), learn(words)))
+    monkeypatch.setattr(pieces, "CACHE", 40)
+    texts = [["the rest of it " + " ".join(f"w{i}x{j}" for j in range(9)), None, "", "▁a \ufb01 \x00b", "a  b", "\U0001f600ré"] for i in range(12)]
+    for some in texts:
+        ids, same = p.read(some)
+        ids = [np.frombuffer(x, np.int32).tolist() for x in ids]
+        assert ids == [sp.encode(t or "") for t in some]
+        assert same == [t is None or p.decode(x) == t for t, x in zip(some, ids, strict=True)] and set(same) == {True, False}
+        assert len(p.cache) + len(p.older) <= 40
+    assert learned.count("▁the") == 1 and len(learned) == len(set(learned))
+    assert pieces._reader(spark, pieces.MODEL)() is pieces._reader(spark, pieces.MODEL)()
+
+
 CLASH = ("live", "_d", "_key", "_out", "_live", "_hash", "_id", "_h", "_draw", "value", "owner")
 
 
