@@ -1,8 +1,9 @@
 import hashlib
 import math
 from collections import deque
-from itertools import combinations
+from itertools import combinations, groupby
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,3 +191,15 @@ def test_common_neighbours_in_blocks_equal_brute_force(spark, monkeypatch, name)
     plan = graph.common_neighbours(edges)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange") == 1
     assert graph.common_neighbours(edges.limit(0)).count() == 0
+
+
+def test_common_neighbours_come_in_runs_of_equal_numbers(spark):
+    """Billions of rows of numbers that change from row to row take twice the disk."""
+    edges = spark.createDataFrame([(u, k) for u in range(60) for k in range(9) if (u * u + 3 * k * u + k) % 5 < 2], "u int, k int")
+    rows = graph.common_neighbours(edges).collect()
+    runs = [k for k, _ in groupby(rows, lambda r: (r.u, r.common, r.links_v))]
+    assert len(runs) == len(set(runs)) < len(rows) / 3
+    i, j, common = np.array([5, 5, 5, 2, 5, 2]), np.array([1, 9, 8, 5, 7, 4]), np.array([1, 2, 1, 1, 2, 1])
+    for scale in (1, 1 << 58):  # beyond what a number holds, by columns
+        order = graph._in_runs(i, j, common, np.arange(10) // 7 * scale)
+        assert order.tolist() == [3, 5, 0, 2, 1, 4]
