@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from evidentia.functions import normal as n
-from evidentia.operators import anomaly, casegraph, evidence, integrity, movement, resolution, social
+from evidentia.operators import anomaly, casegraph, evidence, integrity, movement, resolution, social, twins
 from evidentia.sources import exports
 
 STAR = [("H", "L1"), ("H", "L2"), ("H", "L3"), ("H", "L4"), ("L4", "L5"), ("X", "Y")]
@@ -337,3 +337,53 @@ def test_resolution_sends_no_exploded_rows_to_all_tasks(spark, monkeypatch):
     assert max(sent, default=0) <= 100
     monkeypatch.setattr(resolution, "BROADCAST", 0)
     assert sorted(map(tuple, resolution.candidates(asked, records).collect())) == rows
+
+
+def test_measures_with_twins_equal_those_of_the_whole_graph(monkeypatch):
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        k = int(rng.integers(2, 8))
+        members = [sorted(f"n{x:06}" for x in rng.choice(10**6, int(rng.integers(1, 5)), replace=False)) for _ in range(k)]
+        pairs = [(i, j) for i, j in combinations(range(k), 2) if rng.random() < 0.4] + [(i, i) for i in range(k) if rng.random() < 0.5 and len(members[i]) > 1]
+        edges = [(a, b) for i, j in pairs for a in members[i] for b in members[j] if i != j or a < b]
+        if not edges:
+            continue
+        g = casegraph.Csr(*zip(*edges, strict=True))
+        more = [(m[0], x) for m in members for x in m[1:]]
+        t = twins.Twins([members[i][0] for i, _ in pairs], [members[j][0] for _, j in pairs], [a for a, _ in more], [b for _, b in more])
+        assert t.names == g.names and (t.degree == g.degree).all() and {tuple(sorted(p)) for p in zip(*t.pairs(), strict=True)} == {tuple(sorted(p)) for p in edges}
+        assert np.allclose(twins.pagerank(t), casegraph.pagerank(g)) and (twins.core_numbers(t) == casegraph.core_numbers(g)).all()
+        want = casegraph.louvain(g)
+        monkeypatch.setattr(casegraph, "TIDY", 2)
+        assert (casegraph.louvain(t) == want).all() and (casegraph.louvain(g) == want).all()
+        monkeypatch.setattr(casegraph, "TIDY", 4096)
+        for way in (twins._by_matrix, twins._by_lists):
+            monkeypatch.setattr(twins._Part, "shares", way)
+            assert np.allclose(twins.betweenness(t), casegraph.betweenness(g), atol=1e-12)
+
+
+def test_evidence_takes_betweenness_from_all_nodes(spark, monkeypatch):
+    """Above MANY nodes, a share of the sources is drawn elsewhere; here no size may change a result."""
+    calls = [(str(i), i * 10**6, f"p{a:02}", f"p{b:02}", 1.0) for i, (a, b) in enumerate(np.random.default_rng(5).integers(0, 30, (45, 2)).tolist()) if a != b]
+    comm = spark.createDataFrame(calls, "id string, t long, a string, b string, amount double")
+    actors = comm.select(F.explode(F.array("a", "b")).alias("actor")).distinct().withColumn("role", F.lit(None).cast("string"))
+    none, count = spark.createDataFrame([], "id string, t long, place string, actor string"), spark.createDataFrame([], "actor string, n long")
+    g = casegraph.Csr(*zip(*{tuple(sorted(c[2:4])) for c in calls}, strict=True))
+    want = dict(zip(g.names, casegraph.betweenness(g), strict=True))
+    monkeypatch.setattr(casegraph, "MANY", 10)
+    monkeypatch.setattr(casegraph, "PIVOTS", 5)
+    got = {r.actor: r.betweenness for r in evidence.features(actors, comm.limit(0), comm, none, count, count, spark.createDataFrame([], "actor string, w double")).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[x], want[x], abs_tol=1e-9) for x in want)
+
+
+def test_copies_of_actors_add_no_pairs(spark, data, monkeypatch):
+    """Sixty actors at one place at one time are one class: two of them meet, not all."""
+    asked, whole = [], evidence.copresence
+    monkeypatch.setattr(evidence, "copresence", lambda p, o=None: asked.append((p.count(), o.count())) or whole(p, o))
+    stays = [(f"i{i}", 0, "here", f"c{i:02}") for i in range(60)] + [("j", 3600, "here", "d")]
+    places = spark.createDataFrame(stays, "id string, t long, place string, actor string")
+    actors = places.select("actor", F.when(F.col("actor").isin("c03", "d"), "suspect").alias("role"))
+    none, count = spark.createDataFrame([], "id string, t long, a string, b string, amount double"), spark.createDataFrame([], "actor string, n long")
+    got = {r.actor: r for r in evidence.features(actors, none, none, places, count, count, spark.createDataFrame([], "actor string, w double")).collect()}
+    assert asked == [(2, 3)] and all((r.copresence, r.degree, r.obs_coloc, r.kcore) == (60, 60, 60, 60) for r in got.values())
+    assert {a: r.meet_accused for a, r in got.items() if a in ("c00", "c03", "d")} == {"c00": 2, "c03": 1, "d": 1}
